@@ -11,6 +11,7 @@ from ..registry import Registry, table
 from ..session import Workspace
 from .components import match_groups
 from .leakage import leaked_spans
+from .overlap import coverage, cross_split_matches, row_pairs
 from .tokenize import encode_corpus
 
 REGISTRY = Registry()
@@ -26,6 +27,47 @@ def p1_found(spark, sf_dir):
     return match_groups(rows.select(members.alias("members")), "members", Workspace(spark, "p1"))
 
 
+def _evaluation(spark, sf_dir):
+    columns = ["row_id", "image_path", "phash"]
+    val, test = (table(spark, sf_dir, t).select(*columns, F.lit(t).alias("split")) for t in ("val", "test"))
+    return val.unionByName(test)
+
+
+P2_SQL = r"""
+WITH a AS (
+  SELECT row_id, phash, 'train' AS split, image_path FROM train UNION ALL SELECT row_id, phash, 'val', image_path FROM val
+  UNION ALL SELECT row_id, phash, 'test', image_path FROM test
+), n AS (
+  SELECT row_id, split, CASE WHEN regexp_full_match(trim(phash), '[0-9A-Fa-f]{16}') THEN ('0x' || trim(phash))::UBIGINT END AS h,
+         '_' || regexp_replace(lower(regexp_extract(regexp_replace(replace(url_decode(replace(image_path, '+', '%2B')), chr(92), '/'), '[?#][^/]*$', ''), '[^/]*$')), '[\s_-]+', '_', 'g') || '_' AS f
+  FROM a
+), k AS (
+  SELECT row_id, split, h, nullif(regexp_extract(f, '_(corn_leaf_roboflow|maize_africa|maize_desease|maize_field|cropdg|maize_nutrient|multi_desease)_', 1), '') AS src,
+         nullif(regexp_extract(f, '(?:^|[^0-9])0*([1-9][0-9]{7,8})(?:[^0-9]|$)', 1), '') AS num FROM n
+), p AS (
+  SELECT t.row_id AS x, e.row_id AS y FROM k t JOIN k e ON t.src = e.src AND t.num = e.num AND t.split = 'train' AND e.split <> 'train'
+  UNION
+  SELECT t.row_id, e.row_id FROM k t JOIN k e ON t.split = 'train' AND e.split <> 'train' AND bit_count(xor(t.h, e.h)) <= 4
+)
+SELECT least(x, y) AS row_id_a, greatest(x, y) AS row_id_b FROM p
+"""
+
+
+@REGISTRY.add("p2_found", P2_SQL)
+def p2_found(spark, sf_dir):
+    """Pairs of a train row and a val or test row of the same picture, or with hashes at most 4 bits apart."""
+    train = table(spark, sf_dir, "train").select("row_id", "image_path", "phash")
+    return row_pairs(cross_split_matches(train, _evaluation(spark, sf_dir), Workspace(spark, "p2")))
+
+
+@REGISTRY.add("p2_coverage")
+def p2_coverage(spark, sf_dir):
+    """Cross-split overlaps per split and source."""
+    train = table(spark, sf_dir, "train").select("row_id", "image_path", "phash")
+    evaluation = _evaluation(spark, sf_dir)
+    return coverage(cross_split_matches(train, evaluation, Workspace(spark, "p2c")), evaluation)
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark, sf_dir):
     """Token ids of every document by byte_bpe_50k, without special tokens."""
