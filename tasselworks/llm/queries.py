@@ -10,8 +10,11 @@ from ..operators.packed import packed_values
 from ..registry import Registry, table
 from ..session import Workspace
 from .components import match_groups
+from .grouped_split import grouped_split
 from .leakage import leaked_spans
+from .ledger import ledger_sample, sample_generations
 from .overlap import coverage, cross_split_matches, row_pairs
+from .proportions import proportional_sample
 from .tokenize import encode_corpus
 
 REGISTRY = Registry()
@@ -68,6 +71,80 @@ def p2_coverage(spark, sf_dir):
     return coverage(cross_split_matches(train, evaluation, Workspace(spark, "p2c")), evaluation)
 
 
+#: The sample grows with the loads of each year.
+LEDGER_CUTS = ("2025-01-01 00:00:00", "2026-01-01 00:00:00")
+LEDGER_RATE = 0.1
+
+P3_SQL = r"""
+WITH r AS (
+  SELECT row_id, image_path, label, loaded_at, ('0x' || substr(md5('42:' || image_path), 1, 15))::BIGINT AS key,
+         coalesce(regexp_replace(lower(regexp_replace(label, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g'), '') AS tag
+  FROM train WHERE trim(image_path) <> ''
+), k AS (
+  SELECT key, tag AS stratum, loaded_at AS t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at NULLS FIRST, tag) AS n FROM r) WHERE n = 1
+), q1 AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key) AS n, ceil(count(*) OVER (PARTITION BY stratum) * 0.1::DOUBLE) AS quota FROM k WHERE t < TIMESTAMP '2025-01-01'
+), m1 AS (SELECT key, stratum, 1 AS generation FROM q1 WHERE n <= quota),
+q2 AS (
+  SELECT k.*, m1.generation, row_number() OVER (PARTITION BY k.stratum ORDER BY m1.generation IS NOT NULL, k.key) AS n,
+         ceil(count(*) OVER (PARTITION BY k.stratum) * 0.1::DOUBLE) - count(m1.generation) OVER (PARTITION BY k.stratum) AS quota
+  FROM k LEFT JOIN m1 USING (key) WHERE t < TIMESTAMP '2026-01-01'
+), m2 AS (SELECT * FROM m1 UNION ALL SELECT key, stratum, 2 FROM q2 WHERE generation IS NULL AND n <= quota),
+q3 AS (
+  SELECT k.*, m2.generation, row_number() OVER (PARTITION BY k.stratum ORDER BY m2.generation IS NOT NULL, k.key) AS n,
+         ceil(count(*) OVER (PARTITION BY k.stratum) * 0.1::DOUBLE) - count(m2.generation) OVER (PARTITION BY k.stratum) AS quota
+  FROM k LEFT JOIN m2 USING (key)
+), m3 AS (SELECT * FROM m2 UNION ALL SELECT key, stratum, 3 FROM q3 WHERE generation IS NULL AND n <= quota)
+SELECT row_id, image_path, label, generation AS selected_in FROM r JOIN m3 USING (key)
+"""
+
+
+@REGISTRY.add("p3_ledger_sample", P3_SQL)
+def p3_ledger_sample(spark, sf_dir):
+    """A tenth of the train paths of each label, grown over three loads; members of an earlier load stay."""
+    train = table(spark, sf_dir, "train").select("row_id", "image_path", "label", "loaded_at")
+    ledger = sample_generations(train, list(LEDGER_CUTS), LEDGER_RATE, Workspace(spark, "p3"))
+    return ledger_sample(train.drop("loaded_at"), ledger)
+
+
+SPLIT_SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+
+
+@REGISTRY.add("p4_grouped_split")
+def p4_grouped_split(spark, sf_dir):
+    """Every train row with its split; rows of one contributor, plot folder or path are in the same."""
+    return grouped_split(table(spark, sf_dir, "train"), Workspace(spark, "p4"), SPLIT_SHARES, carry=("label", "environment"))
+
+
+P6_SQL = r"""
+WITH t AS (
+  SELECT regexp_replace(lower(regexp_replace(label, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS l,
+         regexp_replace(lower(regexp_replace(environment, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS e FROM train
+), c AS (SELECT l, e, count(*) AS n FROM t GROUP BY ALL)
+SELECT s.label, s.environment FROM target_shares s LEFT JOIN c ON c.l = s.label AND c.e = s.environment
+WHERE coalesce(n, 0) < min_rows OR coalesce(n, 0) * 5000 < round(target_share * 1000)::BIGINT * (SELECT count(*) FROM train)
+"""
+
+
+@REGISTRY.add("p6_found", P6_SQL)
+def p6_found(spark, sf_dir):
+    """Target categories whose share or floor the sample could not meet."""
+    _, report = proportional_sample(table(spark, sf_dir, "train"), table(spark, sf_dir, "target_shares"), Workspace(spark, "p6"))
+    return report.where("impossible").select("label", "environment")
+
+
+@REGISTRY.add("p6_sample")
+def p6_sample(spark, sf_dir):
+    """The sample of one fifth of train itself."""
+    return proportional_sample(table(spark, sf_dir, "train"), table(spark, sf_dir, "target_shares"), Workspace(spark, "p6s"))[0]
+
+
+@REGISTRY.add("p6_report")
+def p6_report(spark, sf_dir):
+    """Available, planned and selected rows of every target category."""
+    return proportional_sample(table(spark, sf_dir, "train"), table(spark, sf_dir, "target_shares"), Workspace(spark, "p6r"))[1]
+
+
 @REGISTRY.add("p8_ids")
 def p8_ids(spark, sf_dir):
     """Token ids of every document by byte_bpe_50k, without special tokens."""
