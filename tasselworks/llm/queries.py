@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.packed import packed_values
 from ..registry import Registry, table
 from ..session import Workspace
+from .abuse import THRESHOLD, fit, score_documents, source_rates
 from .components import match_groups
 from .grouped_split import grouped_split
 from .leakage import leaked_spans
@@ -163,3 +164,27 @@ def p9_removal_spans(spark, sf_dir):
     items = table(spark, sf_dir, "heldout_items")
     spans = leaked_spans(table(spark, sf_dir, "documents"), items)
     return spans.join(F.broadcast(items.select("item_id", "split")), "item_id").select("doc_id", "item_id", "split", "first_word", "end_word")
+
+
+def _scored(spark, sf_dir, name):
+    documents = table(spark, sf_dir, "documents")
+    _, weights = fit(documents, table(spark, sf_dir, "content_labels"), Workspace(spark, name))
+    return score_documents(documents, weights)
+
+
+@REGISTRY.add("p10_found")
+def p10_found(spark, sf_dir):
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return _scored(spark, sf_dir, "p10").where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
+@REGISTRY.add("p10_scores")
+def p10_scores(spark, sf_dir):
+    """The score of every document."""
+    return _scored(spark, sf_dir, "p10s")
+
+
+@REGISTRY.add("p10_rates")
+def p10_rates(spark, sf_dir):
+    """Documents, flagged documents and their share per source."""
+    return source_rates(_scored(spark, sf_dir, "p10r"))
