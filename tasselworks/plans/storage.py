@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.compaction import compact_rows
 from ..operators.packed import split_packed
 from ..registry import Registry, table
+from ..session import Workspace
 
 REGISTRY = Registry()
 DUPLICATES = "duplicates_healthy_20260608_193638"
@@ -36,3 +40,48 @@ def p7_found(spark, sf_dir):
     """Every single path in duplicate_paths with its position, repeated ones too."""
     rows = table(spark, sf_dir, DUPLICATES).select("row_id", "duplicate_paths")
     return split_packed(rows, "duplicate_paths", "image_path")
+
+
+def _shard_rows(spark, sf_dir):
+    """Train lines with the partition of the tiny file they came in: the year of its folder."""
+    year = F.regexp_extract("shard_path", r"/(\d{4})-\d{2}-\d{2}/[^/]*$", 1)
+    return table(spark, sf_dir, "train").withColumn("shard_year", F.nullif(year, F.lit("")))
+
+
+def _annotation_rows(spark, sf_dir):
+    """Annotation files by the environment folder of their picture."""
+    folder = F.regexp_extract(F.lower(F.regexp_replace("image_path", r"[\\]+", "/")), r"/(lab|real)/", 1)
+    return table(spark, sf_dir, "annot_files").withColumn("folder", F.nullif(folder, F.lit("")))
+
+
+def _scratch(spark, name):
+    return f"{Workspace(spark, name).root}/table"
+
+
+@REGISTRY.add(
+    "p5_compact_train",
+    r"SELECT *, nullif(regexp_extract(shard_path, '/(\d{4})-\d{2}-\d{2}/[^/]*$', 1), '') AS shard_year FROM train",
+)
+def p5_compact_train(spark, sf_dir):
+    """All lines of train, read back from the few files that replace their shards: every row exactly once."""
+    rows, _ = compact_rows(_shard_rows(spark, sf_dir), _scratch(spark, "p5"), "shard_year", "shard_path")
+    return rows.drop("file_name")
+
+
+@REGISTRY.add(
+    "p5_compact_annotations",
+    r"SELECT *, nullif(regexp_extract(lower(replace(image_path, chr(92), '/')), '/(lab|real)/', 1), '') AS folder FROM annot_files",
+)
+def p5_compact_annotations(spark, sf_dir):
+    """All annotation files, read back from few files; files that were delivered twice stay two rows."""
+    rows, _ = compact_rows(_annotation_rows(spark, sf_dir), _scratch(spark, "p5a"), "folder", "file_path")
+    return rows.drop("file_name")
+
+
+@REGISTRY.add("p5_report")
+def p5_report(spark, sf_dir):
+    """Files and rows per partition of train, before and after."""
+    after, before = compact_rows(_shard_rows(spark, sf_dir), _scratch(spark, "p5r"), "shard_year", "shard_path")
+    now = after.groupBy("shard_year").agg(F.count_distinct("file_name").alias("files_after"), F.count("*").alias("rows_after"))
+    was = before.select("shard_year", F.col("n_files").alias("files_before"), F.col("n_rows").alias("rows_before"))
+    return was.join(now, was["shard_year"].eqNullSafe(now["shard_year"]), "left").select(was["shard_year"], "files_before", "files_after", "rows_before", "rows_after")
