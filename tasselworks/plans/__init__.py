@@ -6,7 +6,7 @@ import importlib
 
 from ..registry import Registry
 
-_FAMILIES = ("storage",)
+_FAMILIES = ("storage", "statistics", "duplicates")
 
 
 def registry() -> Registry:
