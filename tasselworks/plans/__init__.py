@@ -6,7 +6,7 @@ import importlib
 
 from ..registry import Registry
 
-_FAMILIES = ("storage", "statistics", "duplicates")
+_FAMILIES = ("storage", "statistics", "duplicates", "samples", "evaluation")
 
 
 def registry() -> Registry:
