@@ -46,7 +46,7 @@ WITH a AS (
          '_' || regexp_replace(lower(regexp_extract(regexp_replace(replace(url_decode(replace(image_path, '+', '%2B')), chr(92), '/'), '[?#][^/]*$', ''), '[^/]*$')), '[\s_-]+', '_', 'g') || '_' AS f
   FROM a
 ), k AS (
-  SELECT row_id, split, h, nullif(regexp_extract(f, '_(corn_leaf_roboflow|maize_africa|maize_desease|maize_field|cropdg|maize_nutrient|multi_desease)_', 1), '') AS src,
+  SELECT row_id, split, h, nullif(regexp_extract(f, '_(corn_leaf_roboflow|maize_africa|maize_desease|maize_field|cropdg|maize_nutrient|multi_desease)[_.]', 1), '') AS src,
          nullif(regexp_extract(f, '(?:^|[^0-9])0*([1-9][0-9]{7,8})(?:[^0-9]|$)', 1), '') AS num FROM n
 ), p AS (
   SELECT t.row_id AS x, e.row_id AS y FROM k t JOIN k e ON t.src = e.src AND t.num = e.num AND t.split = 'train' AND e.split <> 'train'

@@ -1,0 +1,19 @@
+import os
+
+import oracle
+import pytest
+
+from tasselworks.llm.queries import REGISTRY
+
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", REGISTRY.names())
+def test_query(spark, name):
+    df = REGISTRY.build(name, spark, SF)
+    if name in REGISTRY.sql:
+        oracle.compare(df, REGISTRY.sql[name], SF)
+    else:
+        assert df.columns and df.count() >= 0
