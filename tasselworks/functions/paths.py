@@ -26,7 +26,7 @@ def slugged_name(path: Column) -> Column:
 
 def source_in_name(path: Column, sources: tuple[str, ...] = SOURCES) -> Column:
     """The known source that the file name holds between separators, null without one."""
-    return F.nullif(F.regexp_extract(slugged_name(path), "_(" + "|".join(sorted(sources, key=len, reverse=True)) + ")(?=_)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(slugged_name(path), "_(" + "|".join(sorted(sources, key=len, reverse=True)) + ")(?=[_.])", 1), F.lit(""))
 
 
 def number_in_name(path: Column) -> Column:

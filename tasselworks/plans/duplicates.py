@@ -113,7 +113,7 @@ def a16(spark, sf):
     return per.agg(F.count("*").alias("n_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_remove"))
 
 
-_SRC = "coalesce(nullif(regexp_extract('_' || regexp_replace(lower(regexp_extract({c}, '[^/]*$')), '[\\s_-]+', '_', 'g') || '_', '_(corn_leaf_roboflow|maize_nutrient|maize_desease|multi_desease|maize_africa|maize_field|cropdg)_', 1), ''), 'unknown')"
+_SRC = "coalesce(nullif(regexp_extract('_' || regexp_replace(lower(regexp_extract({c}, '[^/]*$')), '[\\s_-]+', '_', 'g') || '_', '_(corn_leaf_roboflow|maize_nutrient|maize_desease|multi_desease|maize_africa|maize_field|cropdg)[_.]', 1), ''), 'unknown')"
 
 
 @Q("a17_dup_summary", _REPLAY + ", n AS (SELECT root, " + _SRC.format(c="node") + " AS src, count(*) AS n FROM c WHERE node <> root GROUP BY ALL)"
