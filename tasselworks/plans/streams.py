@@ -24,8 +24,8 @@ def _run(spark, sf, name, source, make):
     return spark.read.schema(out.schema).parquet(f"{ws.root}/out")
 
 
-@Q("st01_windowed_counts", """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL
-   HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+@Q("st01_windowed_counts", """WITH w AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+   SELECT * FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def st01(spark, sf):
     """Events per hour and type; the windows still open at the end are not emitted."""
     rows = _run(spark, sf, "st01", "events", lambda s: incremental.windowed_counts(s, "ts", "10 minutes", "1 hour", ["event_type"]))
