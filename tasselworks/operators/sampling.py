@@ -124,10 +124,11 @@ def next_valid(df: DataFrame, order: str, valid: Column, values: list[str], ws)
     kept = ws.keep(df.withColumn("__v", packed).repartitionByRange(tasks, order).withColumn("__p", F.spark_partition_id()))
     heads = kept.where("__v IS NOT NULL").groupBy("__p").agg(F.min_by("__v", order).alias("__h"))
     ranges = kept.groupBy("__p").agg(F.min(order).alias("__m")).join(heads, "__p", "left")
-    later = W.orderBy("__m").rowsBetween(1, W.unboundedFollowing)
-    ranges = ranges.withColumn("__next", F.coalesce(F.first("__h", True).over(later), F.first("__h", True).over(W.orderBy("__m").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    inside = W.partitionBy("__p").orderBy(order).rowsBetween(0, W.unboundedFollowing)
-    out = kept.withColumn("__w", F.first("__v", True).over(inside)).join(F.broadcast(ranges.select("__p", "__next")), "__p")
+    # backwards, so that the frame grows from its start and each row costs the same
+    later = W.orderBy(F.desc("__m")).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("__next", F.coalesce(F.last("__h", True).over(later), F.first("__h", True).over(W.orderBy("__m").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
+    inside = W.partitionBy("__p").orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0)
+    out = kept.withColumn("__w", F.last("__v", True).over(inside)).join(F.broadcast(ranges.select("__p", "__next")), "__p")
     rest = [c for c in df.columns if c not in values]
     v = F.coalesce("__w", "__next")
     return out.select(*rest, *[v[c].alias(c) for c in values])
