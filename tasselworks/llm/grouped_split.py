@@ -1,8 +1,8 @@
 """Splits that keep related records together: random-mate contraction of the links between entities.
 
 The entities of a record are its contributor, its plot folder and its path. Records meet through entities, so the
-graph has one vertex per entity, and a path that occurs with a single anchor only (contributor, else plot, else the
-path itself) is folded into that anchor before the loop. In each round every vertex draws head or tail from a hash of (seed, round, vertex); a tail with a
+graph has one vertex per entity, and a plot or path that occurs with a single anchor only (contributor, else plot, else
+the path itself) is folded into that anchor before the loop. In each round every vertex draws head or tail from a hash of (seed, round, vertex); a tail with a
 head among its neighbours collapses into one of them, and joins rename the edges' ends. When no edge is left, the
 collapses are unwound from the last round to the first, which labels every vertex with its component's survivor.
 
@@ -111,15 +111,15 @@ def grouped_split(
     alone = F.xxhash64(F.lit("row"), F.col(row_id))
     base = ws.keep(rows.select(F.col(row_id).alias("row_id"), *[F.col(c) for c in carry], who.alias("c"), plot.alias("p"), file.alias("x"), F.coalesce(who, plot, file, alone).alias("anchor")))
 
-    # a path with one anchor only (which may be the path itself) is a leaf and changes no component
-    seen = base.where("x IS NOT NULL").select(F.col("x").alias("a"), F.col("anchor").alias("b"))
+    # an entity with one anchor only (which may be itself) is a leaf and changes no component; of the others, every
+    # anchor is linked with the smallest
+    entities = F.array_compact(F.array("p", "x"))
+    seen = base.select(F.explode(entities).alias("a"), F.col("anchor").alias("b"))
     several = seen.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n"))
     spread = ws.keep(several.where("lo <> hi"))
     hot = hot_keys(spread, "a", "n", spread.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    from_paths = hot_join(seen, spread.select("a", "lo"), "a", hot).select("b", F.col("lo").alias("a"))
-    # plots stay whole: rows without a contributor hang on them, and there are few
-    from_plots = base.where("p IS NOT NULL AND p <> anchor").select(F.col("p").alias("a"), F.col("anchor").alias("b")).distinct()
-    labels = contract(from_paths.select("a", "b").unionByName(from_plots), ws, seed)
+    links = hot_join(seen, spread.select("a", "lo"), "a", hot).select("b", F.col("lo").alias("a"))
+    labels = contract(links.select("a", "b"), ws, seed)
     anchors = base.groupBy("anchor").agg(F.count("*").alias("n")).join(labels.withColumnRenamed("vertex", "anchor"), "anchor", "left")
     anchors = ws.keep(anchors.select("anchor", "n", F.coalesce("component", "anchor").alias("component")))
     components = ws.keep(anchors.groupBy("component").agg(F.sum("n").alias("weight")))
