@@ -81,6 +81,18 @@ def exif_orientation(content: bytes) -> int:
     return 1
 
 
+def file_headers(files: DataFrame) -> DataFrame:
+    """(path, width, height, orientation) from files (path, content) by their headers alone; sizes are null where no
+    header is understood."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = [header_dimensions(bytes(c)) or (None, None) for c in pdf["content"]]
+            yield pd.DataFrame({"path": pdf["path"], "width": pd.array([w for w, _ in sizes], "Int32"), "height": pd.array([h for _, h in sizes], "Int32"), "orientation": [exif_orientation(bytes(c)) for c in pdf["content"]]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, width int, height int, orientation int")
+
+
 def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     """Pixels turned by an EXIF orientation."""
     if orientation in (2, 3, 4):
@@ -253,3 +265,19 @@ def tensors(images: DataFrame, stage: str, size: tuple[int, int] = (224, 224), s
             yield pd.DataFrame(out, columns=["path", "channels", "height", "width", "tensor"])
 
     return images.where("width > 0 AND height > 0").mapInPandas(run, "path string, channels int, height int, width int, tensor array<float>")
+
+
+def upright_rgb(images: DataFrame, headers: DataFrame) -> DataFrame:
+    """(path, width, height, rgb binary) of readable pictures, turned by their orientation, three channels (I-01)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                a = np.ascontiguousarray(upright(to_rgb(r.data, r.width, r.height, r.n_channels), r.orientation))
+                out.append((r.path, a.shape[1], a.shape[0], a.tobytes()))
+            yield pd.DataFrame(out, columns=["path", "width", "height", "rgb"])
+
+    plain = lambda df: df.withColumn("__p", F.regexp_replace("path", "^file:/+", "/"))
+    turned = plain(images.where("width > 0")).join(plain(headers).select("__p", "orientation"), "__p", "left").withColumn("orientation", F.coalesce("orientation", F.lit(1))).drop("__p")
+    return turned.mapInPandas(run, "path string, width int, height int, rgb binary")

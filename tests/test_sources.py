@@ -72,6 +72,11 @@ def test_images(spark, tree):
         assert len(t) == 3 and all(len(r.tensor) == 3 * 16 * 12 and again[r.path] == r.tensor for r in t)
     flat = next(r for r in images.tensors(df, "inference", (4, 4)).collect() if r.path.endswith("a.png"))
     assert abs(flat.tensor[0] - (20 / 255 - 0.485) / 0.229) < 1e-5
+    files = corpus.scan_files(spark, f"{tree}/clean/healthy", content=True).where("path LIKE '%.png' OR path LIKE '%.JPG'")
+    heads = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.orientation) for r in images.file_headers(files).collect()}
+    assert heads["a.png"] == (30, 24, 1) and heads["B.JPG"] == (None, None, 1)
+    up = {r.path.rsplit("/", 1)[1]: r for r in images.upright_rgb(df, images.file_headers(files).withColumn("orientation", F.lit(6))).collect()}
+    assert (up["a.png"].width, up["a.png"].height, len(up["a.png"].rgb)) == (24, 30, 24 * 30 * 3)
     with pytest.raises(ValueError):
         images.transform(np.zeros((4, 4, 3)), "other", "k")
 
@@ -92,11 +97,11 @@ def test_headers_and_orientation():
 
 def test_near_pictures_have_near_hashes():
     rng = np.random.default_rng(1)
-    base = images.resize(rng.integers(0, 255, (6, 6, 3)), 60, 60)
+    base = images.resize(rng.integers(0, 255, (16, 16, 3)), 60, 60)
     near = np.clip(base + rng.normal(0, 2, base.shape), 0, 255)
-    other = images.resize(rng.integers(0, 255, (6, 6, 3)), 60, 60)
+    other = images.resize(rng.integers(0, 255, (16, 16, 3)), 60, 60)
     h = images.perceptual_hash
-    assert (h(base) ^ h(near)).bit_count() <= 4 < (h(base) ^ h(other)).bit_count()
+    assert (h(base) ^ h(near)).bit_count() <= 4 < 16 < (h(base) ^ h(other)).bit_count()
 
 
 def test_text_sources_and_sinks(spark, tmp_path):
@@ -129,3 +134,15 @@ def test_text_sources_and_sinks(spark, tmp_path):
     s = spark.createDataFrame([("r/.x/a", ".x/a"), ("r/_unlabeled/b", "_unlabeled/b"), ("r/c.jpg", "c.jpg"), ("r/k/d", "k/d")], "path string, relative string")
     assert {(r.path, r.label) for r in corpus.labelled_samples(s).collect()} == {("r/_unlabeled/b", None), ("r/c.jpg", "c.jpg"), ("r/k/d", "k")}
     assert corpus.annotation_files(spark, str(tmp_path / "list.txt")).first().body.startswith("a.jpg")
+
+
+def test_config_and_source_rule(tmp_path):
+    from tasselworks.sources import config
+
+    (tmp_path / "c.yaml").write_text("dataset: {seed: 42}")
+    assert config.load_config(str(tmp_path / "c.yaml"))["dataset"]["seed"] == 42
+    assert config.resolve_source(str(tmp_path), ("hub",)) is None
+    assert config.resolve_source(str(tmp_path), ("drive",), force=True) == "drive"
+    assert config.resolve_source(str(tmp_path / "no"), ("hub", "drive")) == "hub"
+    with pytest.raises(ValueError):
+        config.resolve_source(str(tmp_path / "no"), ())
