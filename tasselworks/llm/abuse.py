@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,11 +44,13 @@ EM_ROUNDS = 60
 #: Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіјѕткмнвԁԛɡαεορτυνικ", "aeopcyxijstkmhbdqgaeoptuvik")
 _LEET = str.maketrans("013457@$!|", "oieast" + "asil")
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Cf}]+")
 _SPELLED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9][-_.*+~|·]){3,}[a-z0-9](?![a-z0-9])|(?<![a-z0-9])(?:[a-z] ){3,}[a-z](?![a-z0-9])")
 _STRETCH = re.compile(r"([a-z])\1{2,}")
 _MIXED = re.compile(r"(?<![a-z0-9_/.-])(?=[a-z0-9@$!|]*[a-z])(?=[a-z0-9@$!|]*[0-9@$!|][a-z0-9@$]|[a-z]+[0-9])[a-z0-9@$!|]{2,}(?![a-z0-9_/-])")
 _STAGE = re.compile(r"[vr]\d+|\d+[a-z]{1,2}")
 _MASKED = re.compile(r"(?<![a-z_])(?:[a-z]{1,12}(?:[#*@]{2,}|__+)[a-z]{1,12}|[a-z]{2,12}(?:[#*@]{2}|__))(?![a-z_*])")
+_TOKEN = re.compile(r"[a-z]+")
 _CUT = re.compile(r"[!?\n\r]+|\.+(?=\s|$)")
 
 _INSULTS = (
@@ -89,7 +92,7 @@ def passages(text: str | None) -> list[tuple[str, bool]]:
         return []
     disguised = False
     if not text.isascii():
-        folded = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
+        folded = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
         latin = folded.translate(_ALIKE)
         disguised, text = latin != folded, latin
     text = text.lower()
@@ -127,7 +130,7 @@ VOTERS: dict[str, str] = {
     "contempt": r"\bshut up\b|\bgo to hell\b|\bcala a boca\b|\bcallate\b|\bvete a la mierda\b|\bvai a merda\b|\bnobody asked you\b|\bnadie te pregunto\b|\bninguem te perguntou\b|\bspit on your\b|\bgoat labels better\b|\bcabra (?:etiqueta|anota) m\w+\b|\bpeople like you\b|\bgente como (?:tu|voce)\b|\bmust be ashamed that you\b|\bescupo (?:en|sobre) tu\b",
     "second_person": r"\b(?:you|your|yourself|te|tu|ti|teu|tua|voce|eres|seu)\b",
     "threat": r"\bi (?:will|ll|am going to)(?:\W+\w+){0,2}? find (?:you|your)\b|\bbreak your\b|\bte voy a (?:encontrar|matar|romper|buscar)\b|\bte rompere\b|\bvou te (?:achar|encontrar|matar|quebrar)\b|\b(?:te )?quebrar? (?:os|teus)\b|\b(?:kill|shoot|stab|burn) you\b",
-    "harm_wish": r"\bi hope (?:you|your|the dogs|they)\b|\bojala (?:te|que te)\b|\btomara que\b.*\b(?:te|ti|teu|voce)\b|\bwould miss you\b|\bhanged? yourself\b|\beveryone a favour\b|\bhaznos un favor\b|\bfaz um favor\b|\bpor que no vas y\b|\bpor que (?:voce )?nao (?:vai|some)\b|\bnobody minds,? so\b|\bnadie (?:te )?extranaria\b|\bninguem (?:te )?sentiria\b|\b(?:tirate|tira-te) al?\b|\bdesaparece para siempre\b|\bno deberia haber nacido\b|\bnao devia ter nascido\b|\b(?:drink|swallow|bebe|tomate) (?:the|el|o) (?:herbicid\w*|rat bait|veneno\w*|weedkiller)\b|\bwalk into the (?:combine|silo)\b",
+    "harm_wish": r"\bi hope (?:you|your|the dogs|they)\b|\bojala (?:te|que te)\b|\btomara que\b.*\b(?:te|ti|teu|voce)\b|\bwould miss you\b|\bhanged? yourself\b|\beveryone a favour\b|\bhaznos un favor\b|\bfaz um favor\b|\bpor que no vas y\b|\bpor que (?:voce )?nao (?:vai|some)\b|\bnobody minds,? so\b|\bnadie (?:te )?extranaria\b|\bninguem (?:te )?sentiria\b|\b(?:tirate|tira-te) al?\b|\bdesaparece para siempre\b|\bno deberia haber nacido\b|\bnao devia ter nascido\b|\b(?:drink|swallow|bebe|tomate) (?:the|el|o) (?:herbicid(?:e|es|a|as)?|rat bait|venenos?|weedkiller)\b|\bwalk into the (?:combine|silo)\b",
     "group_demeaned": rf"\b(?:are|son|sao)\b(?:\W+(?:a|an|all|all of them|nothing but|una|uns|uma|puros|puras|puro))*\W+{_DEHUMAN}\b|\ball of them\b(?:\W+a)?\W+{_DEHUMAN}\b|\bpur[oa]s (?:un[ao]? )?{_DEHUMAN}\b|\bbreed like (?:a )?{_DEHUMAN}\b",
     "group_excluded": rf"\bshould(?: all)? be {_EXCLUDE}\b|\bdeserve to be {_EXCLUDE}\b|\b(?:hay|habria|tem|teria|haveria) que {_DEAL}|\bhabria que \w+|\becharlos ?a ?palos\b|\bdeviam ser \w+|\btem que (?:exterminar|expulsar|prender|queimar|matar|trancar|deixar) (?:todos|todas|eles|elas)\b",
     "group_hated": r"\bi hate (?!the rain|this|rain)\w+|\bodio a l[oa]s\b|\bodeio (?:os|as)\b|\bstinks: it is full of\b|\bhuele\w*.* llen[oa] de\b|\bnever let\b.*\bnear the\b|\btoo \w+ to think\b|\bsobra[nm] (?:l[oa]s|os|as)\b",
@@ -143,12 +146,33 @@ N_VOTERS = len(_NAMES) + 1
 _COMPILED = [re.compile(p) for p in VOTERS.values()]
 
 
-@lru_cache(200_000)
+#: Words of which a match of the voter's pattern holds at least one; a voter is only asked where one of them stands.
+_NEEDS = {
+    "insult_to_person": {*_INSULTS, *_SCORN, "piece", "waste", "puta", "mierda"},
+    "insult_word": {*_INSULTS, *_SCORN},
+    "contempt": set("shut hell boca callate mierda merda nobody nadie ninguem spit goat cabra people gente ashamed escupo".split()),
+    "second_person": set("you your yourself te tu ti teu tua voce eres seu".split()),
+    "threat": set("find break encontrar matar romper buscar rompere achar quebrar quebra kill shoot stab burn".split()),
+    "harm_wish": set("hope ojala tomara miss hang hanged favour favor vas nao minds extranaria sentiria tirate tira desaparece nacido nascido herbicid herbicide herbicides herbicida herbicidas rat veneno venenos weedkiller combine silo".split()),
+    "group_demeaned": set(_DEHUMAN[3:-1].split("|")),
+    "group_excluded": set("should deserve hay habria tem teria haveria echarlos echarlosa echarlosapalos deviam".split()),
+    "group_hated": set("hate odio odeio stinks full llena lleno never too sobra sobran sobram".split()),
+    "sexual_word": {*_SEXUAL, "videos", "video", "comtesao", "naked", "tapes"},
+    "solicitation": set("send mandame manda want body scream grites gritar click quiero quero am estoy estou".split()),
+    "pest_talk": set("aphids weevils cutworms armyworms borers rats mites locusts thrips beetles parasitos parasitas plaga exterminar cogollero pulgones lagartas gorgojo gorgojos".split()),
+    "harmless_idiom": set("idiot naked stupid damn dead garbage clase lixo slow".split()),
+}
+_ASKED = [(1 << k, _COMPILED[k].search, frozenset(_NEEDS[n])) for k, n in enumerate(_NAMES)]
+_ANY_NEED = frozenset().union(*_NEEDS.values())
+
+
 def _votes(passage: str) -> int:
+    words = _ANY_NEED.intersection(_TOKEN.findall(passage))
     bits = 0
-    for k, p in enumerate(_COMPILED):
-        if p.search(passage):
-            bits |= 1 << k
+    if words:
+        for bit, search, needs in _ASKED:
+            if not words.isdisjoint(needs) and search(passage):
+                bits |= bit
     return bits
 
 
@@ -229,9 +253,6 @@ class LabelModel:
 
 
 # --------------------------------------------------------- linear classifier
-_TOKEN = re.compile(r"[a-z]+")
-
-
 def features(passage: str, bits: int) -> list[str]:
     words = _TOKEN.findall(passage)
     return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), *(f"#{k}" for k in range(N_VOTERS) if bits >> k & 1)]

@@ -59,3 +59,18 @@ def test_empty_tables(spark):
     ratings = spark.createDataFrame([], "doc_id long, is_abusive int")
     _, weights = fit(df, ratings, Workspace(spark, "t"))
     assert score_documents(df, weights).count() == 0
+
+
+def test_asking_only_where_a_needed_word_stands_changes_nothing():
+    from tasselworks.llm import abuse
+
+    rng = random.Random(3)
+    texts = ABUSE + DISGUISED + HARMLESS + [
+        "herbicidas: bebe el herbicida", "drink the herbicides", "walk into the silo", "huele a podrido, lleno de gente", "echarlosapalos hoy", "echarlos a palos", "deviam ser presos", "habria que quemarlos",
+        "com tesao", "comtesao", "videos de sexo", "sex tapes", "naked pics", "que rata tan inmunda", "quem marcou isto e um palhaco", "whoever tagged it is a pathetic x", "i am going to find your car", "te quebrar os dentes", "tira-te al pozo",
+        "exterminar a praga", "plaga del cogollero", "hanged yourself", "por que nao some", "never let them near the barn", "too dumb to think", "i am so wet", "pulgones", "sobra os velhos", "breed like rats", "puros una plaga",
+    ]
+    for text in texts + [" ".join(rng.choice(texts).split()[: rng.randrange(1, 9)] + rng.choice(texts).split()[-rng.randrange(1, 9) :]) for _ in range(4000)]:
+        for p, _ in passages(text):
+            plain = sum(1 << k for k, c in enumerate(abuse._COMPILED) if c.search(p))
+            assert abuse._votes(p) == plain, (p, [abuse._NAMES[k] for k in range(N_VOTERS) if (abuse._votes(p) ^ plain) >> k & 1])
