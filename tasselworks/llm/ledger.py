@@ -1,15 +1,20 @@
 """Reproducible sample that stays stable as data grows: a persisted ledger of selected keys.
 
-A key is the 60-bit hash of an image path, and its own priority; all rows of a selected path are in the sample. Each generation knows the rows loaded so far.
-It keeps every key of the ledger by a join, works out how many keys each label should have by now, and fills what
-is missing from keys the ledger does not hold, lowest hash priority first. The new ledger is written and is the only
-state: nothing depends on row order, partitioning or clock.
-
-The label of a key is its smallest normalised label over the rows of its first load; the ledger remembers it, so a
-key never moves between quotas. Defined results: rows with a null or blank path have no key and are never selected;
-keys without a label form a quota of their own; repeated rows of a path go in together; a quota is
-ceil(rate x keys), a label is never emptied by rounding; quotas only grow, a selected key is never dropped; an empty
-table leaves the ledger as it was.
+A key is the 60-bit hash of an image path, and its own priority; all rows of a selected path are in the sample. Each
+generation knows the rows loaded so far. It keeps every key of the ledger by a join and fills the growth of each
+label's quota from keys the ledger does not hold, lowest hash priority first: keys below ``rate`` of the hash range go
+in as soon as they are seen, and when a load period closes, further keys follow until the quota is met. The new ledger
+is written and is the only state: nothing depends on row order, partitioning or clock.
+
+A period closes with the first row loaded after it. What is selected from a closed period depends on its rows only,
+and in the open period each key is decided by itself; so a run over fewer loads selects a subset of what a run over
+more loads selects, whether the ledger was handed on or is built again from the same loads.
+
+The label of a key is its smallest normalised label in its first load; the ledger remembers it, so a key never moves
+between quotas. Defined results: rows with a null or blank path have no key and are never selected; keys without a
+label form a quota of their own; repeated rows of a path go in together; a quota is ceil(rate x keys), so no label of
+a closed period is emptied by rounding; a label may exceed its quota by what the hash gave it, a selected key is never
+dropped; an empty table leaves the ledger as it was.
 """
 
 from __future__ import annotations
@@ -42,14 +47,18 @@ def keyed(rows: DataFrame, path: str, label: str, loaded: str, seed: int = 42) -
     return rows.where(F.trim(path) != "").groupBy(path_key(F.col(path), seed).alias("key")).agg(first.alias("f")).select("key", F.col("f.s").alias("stratum"))
 
 
-def grow_ledger(keys: DataFrame, ledger: DataFrame, rate: float, generation: int, ws: Workspace) -> DataFrame:
-    """The next ledger (key, stratum, generation) for all ``keys`` (key, stratum) known by now."""
+def grow_ledger(keys: DataFrame, ledger: DataFrame, rate: float, generation: int, ws: Workspace, close: bool = True) -> DataFrame:
+    """The next ledger (key, stratum, generation) for all ``keys`` (key, stratum) known by now; quotas are filled up
+    when the period closes."""
     held = ledger.select("key", F.col("stratum").alias("__held"), "generation")
     state = ws.keep(
         keys.join(held, "key", "full").select(
-            "key", F.coalesce("__held", "stratum").alias("stratum"), "generation", F.shiftright("key", 50).alias("bucket")
+            "key", F.coalesce("__held", "stratum").alias("stratum"), F.coalesce("generation", F.when(F.col("key") < int(rate * 2**60), generation)).alias("generation"), F.shiftright("key", 50).alias("bucket")
         )
     )
+    kept = state.where("generation IS NOT NULL").select("key", "stratum", "generation")
+    if not close:
+        return kept
     # bounded by strata x buckets, whatever the number of keys
     counts = state.groupBy("stratum", "bucket").agg(F.count("*").alias("n"), F.count("generation").alias("kept"))
     per = W.partitionBy("stratum")
@@ -62,7 +71,7 @@ def grow_ledger(keys: DataFrame, ledger: DataFrame, rate: float, generation: int
     order = W.partitionBy("stratum").orderBy("key")
     border = unseen.where("before + free > quota").withColumn("r", F.row_number().over(order)).where("before + r <= quota")
     added = whole.select("key", "stratum").unionByName(border.select("key", "stratum")).withColumn("generation", F.lit(generation))
-    return ws.keep(state.where("generation IS NOT NULL").select("key", "stratum", "generation").unionByName(added))
+    return ws.keep(kept.unionByName(added))
 
 
 def ledger_sample(rows: DataFrame, ledger: DataFrame, path: str = "image_path", seed: int = 42) -> DataFrame:
@@ -72,9 +81,11 @@ def ledger_sample(rows: DataFrame, ledger: DataFrame, path: str = "image_path",
 
 
 def sample_generations(rows: DataFrame, cuts: list, rate: float, ws: Workspace, path: str = "image_path", label: str = "label", loaded: str = "loaded_at", seed: int = 42) -> DataFrame:
-    """Ledger after loads up to each of ``cuts`` (timestamps as text) and then of all rows, one generation each."""
+    """Ledger after the loads before each of ``cuts`` (timestamps as text) that has passed, and then of all rows."""
     ledger = empty_ledger(rows.sparkSession)
-    for n, cut in enumerate([*cuts, None], 1):
+    newest = rows.agg(F.max(loaded)).first()[0]
+    passed = [c for c in cuts if newest is not None and str(newest) >= c]
+    for n, cut in enumerate([*passed, None], 1):
         known = rows if cut is None else rows.where(F.col(loaded) < F.lit(cut).cast("timestamp_ntz"))
-        ledger = grow_ledger(keyed(known, path, label, loaded, seed), ledger, rate, n, ws)
+        ledger = grow_ledger(keyed(known, path, label, loaded, seed), ledger, rate, n, ws, close=cut is not None)
     return ledger

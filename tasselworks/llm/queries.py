@@ -83,26 +83,24 @@ WITH r AS (
   FROM train WHERE trim(image_path) <> ''
 ), k AS (
   SELECT key, tag AS stratum, loaded_at AS t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at NULLS FIRST, tag) AS n FROM r) WHERE n = 1
-), q1 AS (
-  SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY key) AS n, ceil(count(*) OVER (PARTITION BY stratum) * 0.1::DOUBLE) AS quota FROM k WHERE t < TIMESTAMP '2025-01-01'
-), m1 AS (SELECT key, stratum, 1 AS generation FROM q1 WHERE n <= quota),
+), l AS (SELECT *, key < 115292150460684697 AS low FROM k),
+q1 AS (
+  SELECT *, row_number() OVER (PARTITION BY stratum, low ORDER BY key) AS n, ceil(count(*) OVER (PARTITION BY stratum) * 0.1::DOUBLE) - count(*) FILTER (low) OVER (PARTITION BY stratum) AS quota
+  FROM l WHERE t < TIMESTAMP '2025-01-01'
+), m1 AS (SELECT key, stratum, 1 AS generation FROM q1 WHERE low OR n <= quota),
 q2 AS (
-  SELECT k.*, m1.generation, row_number() OVER (PARTITION BY k.stratum ORDER BY m1.generation IS NOT NULL, k.key) AS n,
-         ceil(count(*) OVER (PARTITION BY k.stratum) * 0.1::DOUBLE) - count(m1.generation) OVER (PARTITION BY k.stratum) AS quota
-  FROM k LEFT JOIN m1 USING (key) WHERE t < TIMESTAMP '2026-01-01'
-), m2 AS (SELECT * FROM m1 UNION ALL SELECT key, stratum, 2 FROM q2 WHERE generation IS NULL AND n <= quota),
-q3 AS (
-  SELECT k.*, m2.generation, row_number() OVER (PARTITION BY k.stratum ORDER BY m2.generation IS NOT NULL, k.key) AS n,
-         ceil(count(*) OVER (PARTITION BY k.stratum) * 0.1::DOUBLE) - count(m2.generation) OVER (PARTITION BY k.stratum) AS quota
-  FROM k LEFT JOIN m2 USING (key)
-), m3 AS (SELECT * FROM m2 UNION ALL SELECT key, stratum, 3 FROM q3 WHERE generation IS NULL AND n <= quota)
+  SELECT l.*, m1.generation, m1.generation IS NOT NULL OR low AS sure, row_number() OVER (PARTITION BY l.stratum, m1.generation IS NOT NULL OR low ORDER BY l.key) AS n,
+         ceil(count(*) OVER (PARTITION BY l.stratum) * 0.1::DOUBLE) - count(*) FILTER (m1.generation IS NOT NULL OR low) OVER (PARTITION BY l.stratum) AS quota
+  FROM l LEFT JOIN m1 USING (key) WHERE t < TIMESTAMP '2026-01-01'
+), m2 AS (SELECT key, stratum, coalesce(generation, 2) AS generation FROM q2 WHERE sure OR n <= quota),
+m3 AS (SELECT key, coalesce(m2.generation, 3) AS generation FROM l LEFT JOIN m2 USING (key) WHERE m2.generation IS NOT NULL OR low)
 SELECT row_id, image_path, label, generation AS selected_in FROM r JOIN m3 USING (key)
 """
 
 
 @REGISTRY.add("p3_ledger_sample", P3_SQL)
 def p3_ledger_sample(spark, sf_dir):
-    """A tenth of the train paths of each label, grown over three loads; members of an earlier load stay."""
+    """A tenth of the train paths of each label, grown over yearly loads; members of an earlier load stay."""
     train = table(spark, sf_dir, "train").select("row_id", "image_path", "label", "loaded_at")
     ledger = sample_generations(train, list(LEDGER_CUTS), LEDGER_RATE, Workspace(spark, "p3"))
     return ledger_sample(train.drop("loaded_at"), ledger)
