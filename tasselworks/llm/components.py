@@ -79,7 +79,8 @@ def match_groups(rows: DataFrame, members: str, ws: Workspace, seed: int = 0) ->
     the result is exact. ``group_path`` is the smallest value (by code points) of the group; a value without a
     partner is its own group. Null and empty arrays, and null values in them, add nothing.
     """
-    clean = rows.select(F.array_distinct(F.array_compact(F.col(members))).alias("m")).where(F.size("m") > 0)
+    # written once: what makes the members may be costly, and they are read for the dictionary and for the edges
+    clean = ws.keep(rows.select(F.array_distinct(F.array_compact(F.col(members))).alias("m")).where(F.size("m") > 0))
     while True:
         h = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
         names = ws.keep(
