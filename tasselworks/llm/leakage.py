@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ SHARD_WORDS = 400_000
 BLOCK_CHARS = 20_000_000
 SAMPLE = 16
 _WORD = re.compile(r"[^\W_]+")
+_MARKS = regex.compile(r"\p{M}+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -36,7 +38,7 @@ def words_of(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
     return _WORD.findall(text.lower())
 
 
