@@ -306,27 +306,46 @@ def score(text: str | None, weights: dict[str, float]) -> float:
 
 # ----------------------------------------------------------------- operators
 def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of patterns by document, and the passages of lowest hash of each pattern in the batch."""
+    """Counts of patterns by document, batch by batch; at the end, of each pattern the partition's different passages
+    of lowest hash."""
+    names = ["doc_id", "bits", "n", "passage", "h"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+    lowest: dict[int, tuple[list[tuple[int, str]], set[str]]] = {}
     for batch in batches:
-        ids, bits_, n, text, h = [], [], [], [], []
-        kept: dict[int, list[tuple[int, str]]] = {}
+        out = []
         for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             own: Counter = Counter()
             for p, hidden in passages(value):
                 bits = votes(p, hidden)
                 own[bits] += 1
-                heap, item = kept.setdefault(bits, []), (-zlib.crc32(p.encode()), p)
+                heap, held = lowest.setdefault(bits, ([], set()))
+                item = (-zlib.crc32(p.encode()), p)
+                if p in held:
+                    continue
                 if len(heap) < (TRAIN_PER_PATTERN if bits else TRAIN_SILENT):
-                    if item not in heap[:50]:
-                        heapq.heappush(heap, item)
-                elif item > heap[0] and item not in heap[:50]:
-                    heapq.heapreplace(heap, item)
-            for bits, count in own.items():
-                ids.append(key), bits_.append(bits), n.append(count), text.append(None), h.append(None)
-        for bits, heap in kept.items():
-            for hash_, p in heap:
-                ids.append(None), bits_.append(bits), n.append(0), text.append(p), h.append(-hash_)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bits_, pa.int32()), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(h, pa.int64())], names=["doc_id", "bits", "n", "passage", "h"])
+                    heapq.heappush(heap, item)
+                    held.add(p)
+                elif item > heap[0]:
+                    held.discard(heapq.heapreplace(heap, item)[1])
+                    held.add(p)
+            out += [(key, bits, count, None, None) for bits, count in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=names)
+    rest = [(None, bits, 0, p, -h) for bits, (heap, _) in lowest.items() for h, p in heap]
+    if rest:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), types)], names=names)
+
+
+def _training_rows(table: DataFrame) -> list:
+    """(bits, passage), of each pattern those of lowest hash; repeated passages count once. Ranks are taken in 256
+    groups of a pattern first, so that no task ranks what all partitions kept of it."""
+    kept = table.where("passage IS NOT NULL").select("bits", "h", "passage", F.pmod("h", F.lit(256)).alias("g"))
+    out = []
+    for some, most in ((kept.where("bits <> 0"), TRAIN_PER_PATTERN), (kept.where("bits = 0"), TRAIN_SILENT)):
+        for groups in (["bits", "g"], ["bits"]):
+            w = W.partitionBy(*groups).orderBy("h", "passage")
+            some = some.withColumn("k", F.dense_rank().over(w)).where(F.col("k") <= most)
+        out.append(some.select("bits", "h", "passage", "k").distinct())
+    return out[0].unionByName(out[1]).orderBy("k", "bits", "passage").limit(TRAIN_MOST).collect()
 
 
 def fit(documents: DataFrame, ratings: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", rating: str = "is_abusive") -> tuple[LabelModel, dict[str, float]]:
@@ -339,10 +358,7 @@ def fit(documents: DataFrame, ratings: DataFrame, ws: Workspace, doc_id: str = "
     # at most 3 x 2^N_VOTERS rows, whatever the corpus
     counts = table.where("passage IS NULL").join(said, "doc_id", "left").groupBy(pattern.alias("pattern")).agg(F.sum("n").alias("n")).collect()
     model = LabelModel({r["pattern"]: r["n"] for r in counts})
-    top = W.partitionBy("bits").orderBy("h", "passage")
-    most = F.when(F.col("bits") == 0, TRAIN_SILENT).otherwise(TRAIN_PER_PATTERN)
-    sample = table.where("passage IS NOT NULL").select("bits", "h", "passage").distinct().withColumn("k", F.row_number().over(top)).where(F.col("k") <= most)
-    rows = sample.orderBy(F.col("k"), "bits").limit(TRAIN_MOST).collect()
+    rows = _training_rows(table)
     fresh = LabelModel.__new__(LabelModel)
     fresh.weight = model.weight
     v = np.array([[(r["bits"] >> k) & 1 for k in range(N_VOTERS)] for r in rows], float).reshape(-1, N_VOTERS)

@@ -104,26 +104,29 @@ def grouped_split(
     """(row_id, carried columns, component, split)."""
     if abs(sum(shares.values()) - 1.0) > 1e-9:
         raise ValueError("shares must sum to 1")
+    clash = {"row_id", "component", "split"} & set(carry)
+    if clash:
+        raise ValueError(f"carried columns clash with the result: {', '.join(sorted(clash))}")
     entity = lambda kind, c: F.when(F.trim(c) != "", F.xxhash64(F.lit(kind), c))
     who = entity("contributor", F.trim(F.col(contributor)))
     plot = entity("plot", plot_folder(F.col(path)))
     file = entity("path", plain_path(F.col(path)))
     alone = F.xxhash64(F.lit("row"), F.col(row_id))
-    base = ws.keep(rows.select(F.col(row_id).alias("row_id"), *[F.col(c) for c in carry], who.alias("c"), plot.alias("p"), file.alias("x"), F.coalesce(who, plot, file, alone).alias("anchor")))
+    base = ws.keep(rows.select(F.col(row_id).alias("row_id"), *[F.col(c) for c in carry], plot.alias("__p"), file.alias("__x"), F.coalesce(who, plot, file, alone).alias("__anchor")))
 
     # an entity with one anchor only (which may be itself) is a leaf and changes no component; of the others, every
     # anchor is linked with the smallest
-    entities = F.array_compact(F.array("p", "x"))
-    seen = base.select(F.explode(entities).alias("a"), F.col("anchor").alias("b"))
+    entities = F.array_compact(F.array("__p", "__x"))
+    seen = base.select(F.explode(entities).alias("a"), F.col("__anchor").alias("b"))
     several = seen.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.count("*").alias("n"))
     spread = ws.keep(several.where("lo <> hi"))
     hot = hot_keys(spread, "a", "n", spread.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     links = hot_join(seen, spread.select("a", "lo"), "a", hot).select("b", F.col("lo").alias("a"))
     labels = contract(links.select("a", "b"), ws, seed)
-    anchors = base.groupBy("anchor").agg(F.count("*").alias("n")).join(labels.withColumnRenamed("vertex", "anchor"), "anchor", "left")
-    anchors = ws.keep(anchors.select("anchor", "n", F.coalesce("component", "anchor").alias("component")))
+    anchors = base.groupBy("__anchor").agg(F.count("*").alias("n")).join(labels.withColumnRenamed("vertex", "__anchor"), "__anchor", "left")
+    anchors = ws.keep(anchors.select("__anchor", "n", F.coalesce("component", "__anchor").alias("component")))
     components = ws.keep(anchors.groupBy("component").agg(F.sum("n").alias("weight")))
     cut = cut_by_weight(components, shares, seed, heavy).select("component", "split")
     placed = ws.keep(anchors.join(cut, "component"))
-    hot = hot_keys(anchors, "anchor", "n", components.agg(F.sum("weight")).first()[0] or 0)
-    return hot_join(base, placed.select("anchor", "component", "split"), "anchor", hot).select("row_id", *carry, "component", "split")
+    hot = hot_keys(anchors, "__anchor", "n", components.agg(F.sum("weight")).first()[0] or 0)
+    return hot_join(base, placed.select("__anchor", "component", "split"), "__anchor", hot).select("row_id", *carry, "component", "split")

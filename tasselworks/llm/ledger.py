@@ -76,6 +76,8 @@ def grow_ledger(keys: DataFrame, ledger: DataFrame, rate: float, generation: int
 
 def ledger_sample(rows: DataFrame, ledger: DataFrame, path: str = "image_path", seed: int = 42) -> DataFrame:
     """Rows of selected keys, with the generation that selected them; hot paths are left to adaptive skew handling."""
+    if "selected_in" in rows.columns:
+        raise ValueError("output column 'selected_in' clashes with a column of the input")
     picked = ledger.select(F.col("key").alias("__key"), F.col("generation").alias("selected_in"))
     return rows.where(F.trim(path) != "").withColumn("__key", path_key(F.col(path), seed)).join(picked, "__key").drop("__key")
 

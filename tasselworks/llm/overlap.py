@@ -11,7 +11,8 @@ may hold them, so each is scanned once and no task depends on the size of either
 once (distinct passages and hashes); they are expanded to rows only at the end.
 
 Defined results: a null or malformed path (no known source or no number) and a null or malformed hash give no
-passages of that kind; repeated rows match as rows of their own; an empty side gives an empty result.
+passages of that kind; a row without an id cannot be named and is left
+out; repeated rows match as rows of their own; an empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def _units(rows: DataFrame, row_id: str, path: str, phash: str) -> DataFrame:
         rows.select(F.col(row_id).cast("bigint").alias("row_id"), identity(F.col(path)).alias("i"), parsed_hash(F.col(phash)).alias("h"))
         .select("row_id", F.explode(kinds).alias("k"))
         .select("row_id", "k.near", "k.value")
-        .where("value IS NOT NULL")
+        .where("value IS NOT NULL AND row_id IS NOT NULL")
     )
 
 
