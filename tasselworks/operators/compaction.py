@@ -7,8 +7,8 @@ the next version by creating its marker exclusively, then checks that nothing ha
 records the new version when the data are in place. A concurrent writer makes it raise ``ConflictError`` before any
 file is replaced; a job that is run again after losing executors starts from a new snapshot.
 
-Defined results: every row is there exactly once, repeated rows as often as before; null partition values keep a
-partition of their own; empty files vanish; an empty table stays empty; extra columns are carried unchanged.
+Defined results: every row is there exactly once, repeated rows as often as before; null and empty partition
+values share the null partition; empty files vanish; an empty table stays empty; extra columns are carried unchanged.
 """
 
 from __future__ import annotations
@@ -161,6 +161,8 @@ def compact_rows(rows: DataFrame, path: str, partition: str, file: str, target_b
     Partitions with more than ``max_small`` small files are rewritten into a versioned table at ``path``; rows of the
     others are passed on as they are. The result has a column ``file_name``: the new file, or the old for the latter.
     """
+    if "file_name" in rows.columns:
+        raise ValueError("output column 'file_name' clashes with a column of the input")
     payload = [c for c in rows.columns if c != partition]
     before = census(rows, partition, file, payload)
     listed = before.collect()  # a row a partition

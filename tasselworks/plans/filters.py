@@ -46,10 +46,10 @@ def p07(spark, sf):
     return table(spark, sf, "documents").where("n_chars < 100 AND image_path IS NOT NULL").select("doc_id", "image_path")
 
 
-@Q("p10_blank_paths", "SELECT doc_id FROM documents WHERE trim(coalesce(image_path, '')) <> '' AND trim(coalesce(text, '')) <> ''")
-def p10_blank(spark, sf):
-    """Rows whose path and text are not blank."""
-    filled = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+@Q("s11_filled_rows", r"SELECT doc_id FROM documents WHERE regexp_replace(coalesce(image_path, ''), '[ \t\n\r]', '', 'g') <> '' AND regexp_replace(coalesce(text, ''), '[ \t\n\r]', '', 'g') <> ''")
+def s11(spark, sf):
+    """Rows whose path and text are not blank (P-10)."""
+    filled = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\n\r]", "") != ""
     return table(spark, sf, "documents").where(filled("image_path") & filled("text")).select("doc_id")
 
 
