@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import Workspace
+
 
 def class_environment_counts(df: DataFrame, label: str = "label", environment: str = "environment") -> DataFrame:
     """One row per class: lab, real, total (A-01); absent combinations are 0."""
@@ -25,21 +27,43 @@ def ratio(a: Column, b: Column, digits: int) -> Column:
     return F.bround(F.try_divide(a * F.lit(100.0), b), digits)
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], column: str, probabilities: dict[str, float], ws: Workspace) -> DataFrame:
+    """Interpolated quantiles per group, exact, without one group ever being in one task.
+
+    Equal values are counted before the shuffle, the counts are range-sorted by group and value and written; sums per
+    range (ranges x groups rows at most) give every value the positions it covers, and only the values at the wanted
+    positions go on. Groups must be bounded in number; null values do not count. One row a group: groups, columns
+    named as in ``probabilities``.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.select(*groups, F.col(column).cast("double").alias("__x")).where("__x IS NOT NULL").groupBy(*groups, "__x").agg(F.count("*").alias("__c"))
+    kept = ws.keep(counts.repartitionByRange(tasks, *groups, "__x").withColumn("__p", F.spark_partition_id()))
+    per = kept.groupBy(*groups, "__p").agg(F.sum("__c").alias("__s"))
+    g = W.partitionBy(*groups)
+    offsets = per.select(*groups, "__p", (F.sum("__s").over(g.orderBy("__p")) - F.col("__s")).alias("__off"), F.sum("__s").over(g).alias("__total"))
+    inside = W.partitionBy(*groups, "__p").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
+    upto = F.sum("__c").over(inside)
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"o.{c}")) for c in groups]
+    placed = (
+        kept.withColumn("__upto", upto).alias("v").join(F.broadcast(offsets.alias("o")), [F.col("v.__p") == F.col("o.__p"), *same])
+        .select(*[F.col(f"v.{c}") for c in groups], "__x", (F.col("__off") + F.col("__upto") - F.col("__c")).alias("__from"), (F.col("__off") + F.col("__upto")).alias("__to"), "__total")
+    )
+    at = {n: (F.col("__total") - 1) * F.lit(float(q)) for n, q in probabilities.items()}
+    covers = lambda i: (F.col("__from") <= i) & (i < F.col("__to"))
+    hit = reduce(lambda a, b: a | b, [covers(f(p)) for p in at.values() for f in (F.floor, F.ceil)])
+    picked = [F.max(F.when(covers(f(p)), F.col("__x"))).alias(f"__{n}_{k}") for n, p in at.items() for k, f in (("lo", F.floor), ("hi", F.ceil))]
+    part = [F.max(p - F.floor(p)).alias(f"__{n}_part") for n, p in at.items()]
+    found = placed.where(hit).groupBy(*groups).agg(*picked, *part)
+    return found.select(*groups, *[(F.col(f"__{n}_lo") + (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")) * F.col(f"__{n}_part")).alias(n) for n in at])
+
+
 def describe(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """count, mean, std, min, quartiles and max of numeric columns, one row a column (A-11). One pass: every column's
-    statistics are computed in the same aggregate, exact quartiles by partial count maps."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("max"),
-            ).alias(c)
-        )
-    wide = df.agg(*aggs)
-    rows = wide.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
+    """count, mean, std, min, quartiles and max of numeric columns, one row a column (A-11); moments in one combined
+    aggregate, quartiles by ``exact_quantiles``."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("s")).select("s.*")
+    moments = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quartiles = exact_quantiles(long, ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, Workspace(df.sparkSession, "describe"))
+    rows = moments.join(F.broadcast(quartiles), "column", "left")
     return rows.select("column", "n", *[F.bround(k, digits).alias(k) for k in ("mean", "std", "min", "q1", "median", "q3", "max")])
 
 
@@ -56,8 +80,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
 def box_plot(df: DataFrame, group: str, column: str, digits: int = 6) -> DataFrame:
     """Quartiles, whiskers (furthest value within 1.5 IQR) and outliers per group (A-22)."""
     x = F.col(column).cast("double")
-    q = df.groupBy(group).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = exact_quantiles(df, [group], column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, Workspace(df.sparkSession, "box"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)
     # the group keys are classes: a bounded side

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import category
 from ..operators import stats
 from ..registry import Registry, table
+from ..session import Workspace
 from .common import BASE_SQL, cat_sql, listed, manifest
 
 REGISTRY = Registry()
@@ -69,10 +70,10 @@ def a11(spark, sf):
    round_even(sum(p_size * p_retailprice) / 1e6, 3) AS mpx FROM part GROUP BY p_brand""")
 def a12(spark, sf):
     """Extremes and median, with the derived scalar of P-16."""
-    return table(spark, sf, "part").groupBy("p_brand").agg(
-        F.min("p_size").alias("smallest"), F.bround(F.percentile(F.col("p_size").cast("double"), F.lit(0.5)), 6).alias("median"), F.max("p_size").alias("largest"),
-        F.bround(F.sum(F.col("p_size") * F.col("p_retailprice")) / 1e6, 3).alias("mpx"),
-    )
+    part = table(spark, sf, "part")
+    ends = part.groupBy("p_brand").agg(F.min("p_size").alias("smallest"), F.max("p_size").alias("largest"), F.bround(F.sum(F.col("p_size") * F.col("p_retailprice")) / 1e6, 3).alias("mpx"))
+    median = stats.exact_quantiles(part, ["p_brand"], "p_size", {"median": 0.5}, Workspace(spark, "a12"))
+    return ends.join(F.broadcast(median), "p_brand").withColumn("median", F.bround("median", 6))
 
 
 @Q("p16_derived_scalars", "SELECT p_partkey, round_even(p_size * p_retailprice / 1e6::DOUBLE, 3) AS mpx, round_even(p_retailprice / p_size, 3) AS aspect FROM part")
@@ -92,7 +93,7 @@ def a13(spark, sf):
 
 @Q("a14_median_order", "SELECT source, round_even(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median, row_number() OVER (ORDER BY quantile_cont(n_chars::DOUBLE, 0.5), source)::INT AS place FROM documents WHERE n_chars IS NOT NULL GROUP BY source")
 def a14(spark, sf):
-    g = table(spark, sf, "documents").where("n_chars IS NOT NULL").groupBy("source").agg(F.percentile(F.col("n_chars").cast("double"), F.lit(0.5)).alias("m"))
+    g = stats.exact_quantiles(table(spark, sf, "documents"), ["source"], "n_chars", {"m": 0.5}, Workspace(spark, "a14"))
     return g.select("source", F.bround("m", 6).alias("median"), F.row_number().over(W.orderBy("m", "source")).alias("place"))
 
 

@@ -172,6 +172,19 @@ def test_stats_edges(spark):
     assert zero is None
 
 
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(40)) if rng.random() < 0.9 else None) for _ in range(700)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r.g: tuple(r)[1:] for r in stats.exact_quantiles(df, ["g"], "x", {"q1": 0.25, "m": 0.5, "p99": 0.99}, ws(spark)).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, q in got.items():
+        assert np.allclose(q, np.quantile([x for k, x in rows if k == g and x is not None], [0.25, 0.5, 0.99]))
+    assert stats.exact_quantiles(df.limit(0), ["g"], "x", {"m": 0.5}, ws(spark)).count() == 0
+
+
 def test_paths(spark):
     p = "file:///srv/x/clean/healthy/real/plot%5F7-8/Healthy%5FMaize-Field  real 00012345678 (1).JPG?rev=3"
     c = F.lit(p)
