@@ -39,6 +39,8 @@ TRAIN_SILENT = 4000
 TRAIN_MOST = 20_000
 THRESHOLD = 0.5
 EM_ROUNDS = 60
+#: A telling voter fires in at most this share of harmless passages (the label model's bound).
+MOST_IN_HARMLESS = 1e-5
 
 # ---------------------------------------------------------------- plain form
 #: Letters of other alphabets that look like Latin ones.
@@ -136,8 +138,8 @@ VOTERS: dict[str, str] = {
     "group_hated": r"\bi hate (?!the rain|this|rain)\w+|\bodio a l[oa]s\b|\bodeio (?:os|as)\b|\bstinks: it is full of\b|\bhuele\w*.* llen[oa] de\b|\bnever let\b.*\bnear the\b|\btoo \w+ to think\b|\bsobra[nm] (?:l[oa]s|os|as)\b",
     "sexual_word": rf"\b{_any(_SEXUAL)}\b|\bvideos? de sexo\b|\bcom ?tesao\b|\bnaked pics\b|\bsex tapes\b",
     "solicitation": r"\bsend me\b|\bmandame\b|\bmanda (?:fotos?|videos?|porno|nudes?)\b|\bi want to\b.*\byou\b|\bbody needs you\b|\buntil you scream\b|\bhasta que grites\b|\bate (?:voce )?gritar\b|\bclick for hot\b|\bquiero \w+(?:ar|er|ir)te\b|\bquero (?:te|tirar (?:a )?tua)\b|\bi am so (?:hard|wet|horny|turned on)\b|\bestoy (?:excitad|cachond|caliente)\w*|\bestou (?:excitad\w+|com ?tesao)",
-    "pest_talk": r"\b(?:aphids|weevils|cutworms|armyworms|(?:stalk )?borers|rats in the|mites|locusts|thrips|beetles|parasit[oa]s do grao|parasitos del grano|plaga del|exterminar (?:la|a) p\w+|cogollero|pulgones|lagartas|gorgojos?)\b",
-    "harmless_idiom": r"\b(?:idiot-proof|naked (?:eye|stalks)|stupid idea|damn rain|dead heart|garbage frames|clase basura|lixo no fundo|slow rater)\b",
+    "pest_talk": r"\b(?:aphids|weevils|cutworms|armyworms|(?:stalk )?borers|rats in the|locusts|thrips|beetles|parasit[oa]s d(?:o|el)\W+(?:\w+\W+){0,2}gra(?:o|no)|plaga del|exterminar\W+(?:\w+\W+){0,2}(?:la|a) p\w+|cogollero|pulgones|lagartas|gorgojos?)\b",
+    "harmless_idiom": r"\b(?:idiot-proof|naked (?:eye|stalks)|stupid idea|damn rain|dead heart|garbage frames|clase basura|lixo no fundo|slow rater|cock pheasant)\b",
 }
 _NAMES = list(VOTERS)
 _AGAINST = {"pest_talk", "harmless_idiom"}
@@ -159,8 +161,8 @@ _NEEDS = {
     "group_hated": set("hate odio odeio stinks full llena lleno never too sobra sobran sobram".split()),
     "sexual_word": {*_SEXUAL, "videos", "video", "comtesao", "naked", "tapes"},
     "solicitation": set("send mandame manda want body scream grites gritar click quiero quero am estoy estou".split()),
-    "pest_talk": set("aphids weevils cutworms armyworms borers rats mites locusts thrips beetles parasitos parasitas plaga exterminar cogollero pulgones lagartas gorgojo gorgojos".split()),
-    "harmless_idiom": set("idiot naked stupid damn dead garbage clase lixo slow".split()),
+    "pest_talk": set("aphids weevils cutworms armyworms borers rats locusts thrips beetles parasitos parasitas plaga exterminar cogollero pulgones lagartas gorgojo gorgojos".split()),
+    "harmless_idiom": set("idiot naked stupid damn dead garbage clase lixo slow cock".split()),
 }
 _ASKED = [(1 << k, _COMPILED[k].search, frozenset(_NEEDS[n])) for k, n in enumerate(_NAMES)]
 _ANY_NEED = frozenset().union(*_NEEDS.values())
@@ -211,7 +213,7 @@ class LabelModel:
         strong = np.array([name not in ("second_person", "insult_word", "sexual_word") for name in _NAMES] + [True]) & ~against
         # starting points; they also act as priors worth 20 passages, so that rare voters stay sensible
         p1 = np.where(against, 0.002, np.where(strong, 0.2, 0.4))
-        p0 = np.where(against, 0.05, np.where(strong, 0.00005, 0.01))
+        p0 = np.where(against, 0.05, np.where(strong, MOST_IN_HARMLESS, 0.01))
         prior1, prior0 = p1.copy(), p0.copy()
         said1, said0 = np.array([0.9, 0.01, 0.09]), np.array([0.9, 0.09, 0.01])
         share = 0.005
@@ -220,7 +222,7 @@ class LabelModel:
             post = self._posterior(v, rating, share, p1, p0, said1, said0)
             w1, w0 = n * post, n * (1 - post)
             p1 = (w1 @ v + 20 * prior1) / (w1.sum() + 20)
-            p0 = np.minimum((w0 @ v + 20 * prior0) / (w0.sum() + 20), np.where(against, 0.5, np.where(strong, 0.004, 0.05)))
+            p0 = np.minimum((w0 @ v + 20 * prior0) / (w0.sum() + 20), np.where(against, 0.5, np.where(strong, MOST_IN_HARMLESS, 0.05)))
             p1 = np.where(against, np.minimum(p1, 0.02), np.maximum(p1, 2 * p0))
             said1 = np.array([(w1[rating == r].sum() + 2 * (r == 2) + 1) for r in range(3)])
             said0 = np.array([(w0[rating == r].sum() + 2 * (r == 1) + 1) for r in range(3)])
@@ -249,7 +251,7 @@ class LabelModel:
             r = np.maximum(cov / np.outer(sd, sd) - 0.3, 0)
             np.fill_diagonal(r, 0)
             excess = np.maximum(excess, r.sum(1))
-        return 1 / (1 + np.minimum(excess, 0.5))
+        return 1 / (1 + np.minimum(excess, 0.25))
 
 
 # --------------------------------------------------------- linear classifier
