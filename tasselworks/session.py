@@ -7,6 +7,8 @@ costs a re-read and nothing else.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,9 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; only where that is unset, a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(spark, "_tasselworks_dir", None)
         if named is None:
             named = tempfile.mkdtemp(prefix="tasselworks-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
             spark._tasselworks_dir = named
     return named.rstrip("/")
 
@@ -52,17 +57,13 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._at: dict[int, str] = {}
         self._n = 0
 
-    def keep(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
-        if partitions is not None:
-            df = df.coalesce(partitions)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(back)] = path
         back._workspace_path = path
         return back
 
