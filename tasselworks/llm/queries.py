@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators.packed import packed_values
+from ..plans.storage import DUPLICATES, PACKED_SQL
 from ..registry import Registry, table
 from ..session import Workspace
 from .abuse import THRESHOLD, fit, score_documents, source_rates
@@ -20,10 +21,19 @@ from .tokenize import encode_corpus
 
 REGISTRY = Registry()
 TOKENIZERS = os.environ.get("TASSELWORKS_TOKENIZERS", "/opt/tokenizers")
-DUPLICATES = "duplicates_healthy_20260608_193638"
 
 
-@REGISTRY.add("p1_found")
+P1_SQL = f"""
+WITH RECURSIVE x AS ({PACKED_SQL.strip()}),
+o AS (SELECT row_id, image_path FROM x UNION SELECT row_id, original_path FROM {DUPLICATES} WHERE trim(original_path) <> ''),
+f AS (SELECT row_id, min(image_path) AS a FROM o GROUP BY row_id),
+s AS (SELECT a AS x, image_path AS y FROM o JOIN f USING (row_id) UNION SELECT image_path, a FROM o JOIN f USING (row_id)),
+r AS (SELECT DISTINCT image_path, image_path AS other FROM o UNION SELECT r.image_path, s.y FROM r JOIN s ON r.other = s.x)
+SELECT image_path, min(other) AS group_path FROM r GROUP BY image_path
+"""
+
+
+@REGISTRY.add("p1_found", P1_SQL)
 def p1_found(spark, sf_dir):
     """Every different path with the smallest path of all that are linked with it, directly or indirectly."""
     rows = table(spark, sf_dir, DUPLICATES).select("original_path", "duplicate_paths")
@@ -150,7 +160,16 @@ def p8_ids(spark, sf_dir):
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
-@REGISTRY.add("p9_found")
+P9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+e AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (p)
+"""
+
+
+@REGISTRY.add("p9_found", P9_SQL)
 def p9_found(spark, sf_dir):
     """Documents and the held-out items of which they hold at least 12 words in a row."""
     return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id").distinct()
