@@ -13,12 +13,15 @@ Q = REGISTRY.add
 
 
 def _run(spark, sf, name, source, make):
-    """Streams the table's rows. The input is copied into a folder first only where the table is a single file, which
-    a file stream cannot follow."""
+    """Streams the table's rows. A table that is a single file, which a file stream cannot follow, is first written
+    into a folder; a folder is followed as it is."""
     ws = Workspace(spark, name)
     rows = table(spark, sf, source)
-    folder = f"{ws.root}/in"
-    rows.write.parquet(folder)
+    folder = f"{sf}/{source}.parquet"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder = f"{ws.root}/in"
+        rows.write.parquet(folder)
     out = make(incremental.stream_table(spark, folder, rows.schema))
     incremental.run_available(out, f"{ws.root}/out", f"{ws.root}/state")
     return spark.read.schema(out.schema).parquet(f"{ws.root}/out")

@@ -47,17 +47,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_ROOTS: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _remove_workspaces() -> None:
+    """Deletes this driver's intermediate tables when it ends; what it cannot reach is left to the folder's owner."""
+    for root, spark in _ROOTS.items():
+        local = root.removeprefix("file://") if root.startswith(("file:///", "/")) else None
+        try:
+            if local:
+                shutil.rmtree(local, ignore_errors=True)
+            else:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:
+            pass
+
+
 class Workspace:
     """Written intermediate tables of one operator run.
 
     ``keep(df)`` writes a frame and returns the frame read back; ``drop(df)`` deletes one that is no longer needed.
-    Tables that the returned (lazy) result still reads are left in place: the shared folder is cleaned with the job.
+    Tables that the returned (lazy) result still reads stay until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _ROOTS[self.root] = spark
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
