@@ -1,35 +1,60 @@
 """Several values packed in one field: one row per value, with its position.
 
-The field is split on quote characters. Walking over the pieces with an array fold, pieces between an opening quote
-and its partner are literals; all other pieces are split on delimiters. A quote opens only at the start of a value,
-so an apostrophe inside a bare path stays an ordinary character.
+The field is split on quote characters: odd pieces are literals, even pieces are split on delimiters, and array folds
+(transform, flatten, filter) reassemble the values with their ordinals. Only quotes that open or close a literal count,
+so these are first replaced by one mark, in a single pass of a possessive pattern. A quote opens only at the start of a
+value, so an apostrophe inside a bare path stays an ordinary character. The cost grows linearly with the field.
 
 Defined results: a null, empty or blank field and an empty list give no row; empty values are skipped and not
-counted; repeated values and repeated rows are kept; an unclosed quote runs to the end of the field; columns of the
+counted; repeated values and repeated rows are kept; an unclosed quote runs to the end of the field; text between a
+closing quote and the next delimiter belongs to the value; the noncharacter U+FDD0 is dropped; columns of the
 input other than the packed one are carried along unchanged, and an output name that clashes with one of them raises.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DELIMITERS = ",;|\n\r\t"
-_BLANK = r"[\s ﻿]"
-_TOKENS = r"""(?=["'])|(?<=["'])"""
+_BLANKS = " \t\n\x0b\f\r\u00a0\ufeff"
+_STOP = DELIMITERS.replace("|", r"\|")
+#: Takes the place of the quotes that open and close a literal: a noncharacter, which no text holds.
+_MARK = "\ufdd0"
+
+
+def _body(q: str) -> str:
+    return rf"[^{q}\\]*+(?:(?:\\.|{q}{q})[^{q}\\]*+)*+"
+
+
+#: A delimiter, blanks, a quoted literal (its quote doubled or escaped inside) and what follows up to the next delimiter.
+#: All repetitions are possessive: one pass, whatever the length.
+_LITERAL = rf"""(?s)([{_STOP}][ \x0B\f\u00a0\ufeff]*+)(?:(")({_body('"')})(?:"|\z)|(')({_body("'")})(?:'|\z))([^{_STOP}]*+)"""
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.trim(c, F.lit(_BLANKS))
+
+
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c worked out once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def _unwrap(c: Column) -> Column:
     """Without outer blanks, without the quoting of a whole list (inner quotes doubled), without list brackets."""
-    s = _strip(c)
-    whole = s.rlike(r'(?s)^"\s*[\[{].*[\]}]\s*"$')
-    s = F.when(whole, _strip(F.replace(F.substring(s, F.lit(2), F.length(s) - 2), F.lit('""'), F.lit('"')))).otherwise(s)
-    listed = s.rlike(r"(?s)^\[.*\]$") | s.rlike(r"(?s)^\{.*\}$")
-    return F.when(listed, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+
+    def unquoted(s: Column) -> Column:
+        whole = s.startswith('"') & s.rlike(r'(?s)^"\s*[\[{].*[\]}]\s*"$')
+        return F.when(whole, _strip(F.replace(F.substring(s, F.lit(2), F.length(s) - 2), F.lit('""'), F.lit('"')))).otherwise(s)
+
+    def unlisted(s: Column) -> Column:
+        listed = (F.length(s) > 1) & ((s.startswith("[") & s.endswith("]")) | (s.startswith("{") & s.endswith("}")))
+        return F.when(listed, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+
+    return _let(_let(_strip(c), unquoted), unlisted)
 
 
 def _unescape(c: Column) -> Column:
@@ -43,52 +68,16 @@ def _unescape(c: Column) -> Column:
 
 def packed_values(c: Column) -> Column:
     """array<string> of the single values of a packed field, in order, empty ones left out; null field -> empty."""
-    delimiter = "[" + DELIMITERS.replace("|", r"\|") + "]"
-    start = F.struct(
-        F.lit("").alias("q"),
-        F.lit("").alias("last"),
-        F.lit("").alias("cur"),
-        F.lit(False).alias("lit"),
-        F.array().cast("array<string>").alias("vals"),
-    )
+    # a delimiter in front gives every value, the first too, the same look
+    text = F.concat(F.lit(","), F.replace(_unwrap(c), F.lit(_MARK), F.lit("")))
+    pieces = F.split(F.regexp_replace(text, _LITERAL, f"$1{_MARK}$2$4$3$5$6{_MARK}"), _MARK, -1)
+
+    def values(piece: Column, k: Column) -> Column:
+        quote, rest = F.left(piece, F.lit(1)), F.substring(piece, 2, 1 << 30)
+        return F.when(k % 2 == 1, F.array(F.replace(rest, F.concat(quote, quote), quote))).otherwise(F.split(piece, f"[{_STOP}]", -1))
 
-    def state(s: Column, q: Column = None, last: Column = None, cur: Column = None, lit: Column = None, vals: Column = None) -> Column:
-        return F.struct(
-            (s["q"] if q is None else q).alias("q"),
-            (F.lit("") if last is None else last).alias("last"),
-            (s["cur"] if cur is None else cur).alias("cur"),
-            (s["lit"] if lit is None else lit).alias("lit"),
-            (s["vals"] if vals is None else vals).alias("vals"),
-        )
-
-    def step(s: Column, t: Column) -> Column:
-        quote = t.isin('"', "'")
-        inside = s["q"] != ""
-        escaped = F.pmod(F.length(F.regexp_extract(s["cur"], r"(\\*)$", 1)), F.lit(2)) == 1
-        parts = F.split(t, delimiter, -1)
-        n = F.size(parts)
-        tail = F.when(s["lit"], _strip(F.element_at(parts, 1))).otherwise(F.element_at(parts, 1))
-        first = F.concat(s["cur"], tail)
-        return (
-            F.when(inside & (t == s["q"]) & ~escaped, state(s, q=F.lit(""), last=t))
-            .when(inside, state(s, cur=F.concat(s["cur"], t)))
-            .when(quote & (s["last"] == t), state(s, q=t, cur=F.concat(s["cur"], t)))
-            .when(quote & ~s["lit"] & (_strip(s["cur"]) == ""), state(s, q=t, cur=F.lit(""), lit=F.lit(True)))
-            .when(quote | (n == 1), state(s, cur=F.when(quote, F.concat(s["cur"], t)).otherwise(first)))
-            .otherwise(
-                state(
-                    s,
-                    cur=F.element_at(parts, -1),
-                    lit=F.lit(False),
-                    vals=F.concat(s["vals"], F.array(first), F.slice(parts, F.lit(2), n - 2)),
-                )
-            )
-        )
-
-    tokens = F.split(_unwrap(c), _TOKENS, -1)
-    folded = F.aggregate(tokens, start, step, lambda s: F.concat(s["vals"], F.array(s["cur"])))
-    values = F.transform(folded, lambda v: _strip(_unescape(_strip(v))))
-    return F.coalesce(F.filter(values, lambda v: v != ""), F.array().cast("array<string>"))
+    parts = F.filter(F.flatten(F.transform(pieces, values)), lambda v: v != "")
+    return F.coalesce(F.filter(F.transform(parts, lambda v: _strip(_let(_strip(v), _unescape))), lambda v: v != ""), F.array().cast("array<string>"))
 
 
 def split_packed(df: DataFrame, column: str, value: str = "value", pos: str = "pos") -> DataFrame:

@@ -43,3 +43,18 @@ def test_long_field_repeats_and_extra_columns(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "row_id long, packed string")
     assert split_packed(df, "packed").count() == 0
+
+
+def test_one_very_long_field_is_split_in_linear_time(spark):
+    import time
+
+    def seconds(n):
+        packed = "[" + ", ".join(f'"/p/{k}, x.jpg"' for k in range(n)) + ", " + "'/q/" + "y" * 200_000 + "']"
+        df = spark.createDataFrame([(1, packed)], "row_id long, packed string")
+        began = time.time()
+        assert split_packed(df, "packed").agg({"pos": "max"}).first()[0] == n + 1
+        return time.time() - began
+
+    seconds(1000)
+    small, large = seconds(10_000), seconds(100_000)
+    assert large < 20 * max(small, 0.5), (small, large)
