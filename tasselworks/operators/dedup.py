@@ -38,33 +38,42 @@ def sign_hash(embedding: Column, bits: int = 16) -> Column:
 
 
 def hamming_pairs(hashes: DataFrame, key: str, value: str, bits: int, threshold: int, scope: list[str] = ()) -> DataFrame:
-    """(a, b, distance) of keys a < b whose integer hashes differ in at most ``threshold`` bits.
+    """(a, b, distance) for integer hashes that differ in at most ``threshold`` bits, by representatives.
 
-    Threshold 0 is an equi-join. Otherwise the hash is cut into threshold + 1 bands; two hashes within the threshold
-    agree in one band at least, so an equi-join on (band, bits) misses nothing; a pair is kept for its first band only.
-    Equal hashes are collapsed before the join and expanded afterwards.
+    The representative of a hash (and scope) is its smallest key. Rows with distance 0 say which key ``b`` belongs to
+    which representative ``a``; all others link two representatives, a < b. Copies are not expanded into pairs, so a
+    hash that a third of all rows share gives a row a member.
+
+    The hash is cut into threshold + 1 bands; two hashes within the threshold agree in one band at least, so an
+    equi-join on (band, bits) misses nothing; a pair is kept for its first band only. The join is over different
+    hashes, a bucket of which is bounded by the bits that the other bands leave, and adaptive execution splits it.
     """
     bands = threshold + 1
     edges = [bits * k // bands for k in range(bands + 1)]
     # scope columns come along as one struct, so that scope null meets scope null
     tagged = hashes.select(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in scope], F.lit(0).alias("_")).alias("s"), F.col(key).alias("k"), F.col(value).cast("bigint").alias("h")).where("h IS NOT NULL")
-    distinct = tagged.select("s", "h").distinct()
+    distinct = tagged.groupBy("s", "h").agg(F.min("k").alias("k"), F.count("*").alias("n"))
     masks = [-1 if edges[n + 1] - edges[n] == 64 else (1 << (edges[n + 1] - edges[n])) - 1 for n in range(bands)]
     band_bits = lambda c, n: F.shiftrightunsigned(c, edges[n]).bitwiseAND(F.lit(masks[n]).cast("bigint"))
+    # members meet their representative by a hash of scope and value, split by hot_join where one value is frequent
+    one = lambda d, k: d.select(F.xxhash64("s", "h").alias("x"), "s", "h", F.col("k").alias(k))
+    several = distinct.where("n > 1")
+    most = several.groupBy(F.xxhash64("s", "h").alias("x")).agg(F.sum("n").alias("n"))
+    same = hot_join(one(tagged, "b"), one(several, "a").groupBy("x").agg(F.collect_list(F.struct("s", "h", "a")).alias("r")), "x", hot_keys(most, "x", "n"))
+    # values that share the 64-bit hash are told apart here
+    same = same.select("b", F.filter("r", lambda r: (r["s"] == F.col("s")) & (r["h"] == F.col("h")))[0]["a"].alias("a")).where("a <> b").select("a", "b", F.lit(0).alias("distance"))
+    if not threshold:
+        return same
     parts = F.array(*[F.struct(F.lit(n).alias("band"), band_bits(F.col("h"), n).alias("bits")) for n in range(bands)])
-    banded = distinct.select("s", "h", F.explode(parts).alias("p"))
+    banded = distinct.select("s", "h", "k", F.explode(parts).alias("p"))
     differ = F.col("l.h").bitwiseXOR(F.col("r.h"))
     first = reduce(lambda acc, n: F.when(band_bits(differ, n) == 0, n).otherwise(acc), reversed(range(bands)), F.lit(bands))
     near = (
         banded.alias("l").join(banded.alias("r"), (F.col("l.s") == F.col("r.s")) & (F.col("l.p") == F.col("r.p")) & (F.col("l.h") < F.col("r.h")))
         .where((F.bit_count(differ) <= threshold) & (first == F.col("l.p.band")))
-        .select("l.s", F.col("l.h").alias("x"), F.col("r.h").alias("y"), F.bit_count(differ).cast("int").alias("distance"))
+        .select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b"), F.bit_count(differ).cast("int").alias("distance"))
     )
-    near = near.unionByName(distinct.select("s", F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
-    left = tagged.select("s", F.col("h").alias("x"), F.col("k").alias("a"))
-    right = tagged.select("s", F.col("h").alias("y"), F.col("k").alias("b"))
-    met = near.join(left, ["s", "x"]).join(right, ["s", "y"]).where((F.col("distance") > 0) | (F.col("a") < F.col("b")))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
+    return near.unionByName(same)
 
 
 def components(edges: DataFrame, ws: Workspace, max_rounds: int = 50) -> DataFrame:
@@ -76,19 +85,17 @@ def components(edges: DataFrame, ws: Workspace, max_rounds: int = 50) -> DataFra
     pairs = ws.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        low = ws.keep(low)
-        hot = hot_keys(low, "a", "n", pairs.count() * 2)
+        low = ws.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n")), most=F.max("n"))
+        hot = hot_keys(low, "a", "n", low.observed["most"] or 0)
         large = hot_join(both.where("b > a"), low.select("a", "m"), "a", hot).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = ws.keep(large)
-        down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        down = ws.keep(down)
-        hot = hot_keys(down, "a", "n", large.count())
-        hung = hot_join(large, down.select("a", "m"), "a", hot)
+        down = ws.keep(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), most=F.max("n"))
+        hung = hot_join(large, down.select("a", "m"), "a", hot_keys(down, "a", "n", down.observed["most"] or 0))
         small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
         new = ws.keep(small)
-        # a table of stars: no node is both a child and a parent
-        done = new.select(F.col("b").alias("a")).distinct().join(new.select("a").distinct(), "a", "left_semi").isEmpty() and new.groupBy("a").count().where("count > 1").isEmpty()
+        # a table of stars: no node is both a child and a parent, or a child twice
+        roles = new.select("a", F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(new.select(F.col("b").alias("a"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+        done = roles.groupBy("a").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 OR (c > 0 AND p > 0)").isEmpty()
         ws.drop(pairs, low, large, down)
         pairs = new
         if done:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import source_in_name
 from ..operators import dedup
 from ..operators.packed import packed_values
+from ..operators.skew import hot_join, hot_keys
 from ..registry import Registry, table
 from ..session import Workspace
 from .common import BASE_SQL, manifest
@@ -29,9 +30,9 @@ def u01(spark, sf):
 @Q("u02_folder_dedup_plan", "SELECT doc_id, source, 'delete' AS action FROM (SELECT *, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS n FROM documents WHERE text IS NOT NULL) WHERE n > 1")
 def u02(spark, sf):
     """Later copies inside one folder; unreadable rows are skipped."""
-    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", F.sha2("text", 256).alias("h"))
-    first = d.groupBy(F.col("source").alias("s"), F.col("h").alias("fh")).agg(F.min("doc_id").alias("k"))
-    later = d.join(first, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("fh"))).where("doc_id <> k")
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", "source", F.sha2(F.concat(F.sha2("text", 256), F.coalesce(F.concat(F.lit("/"), "source"), F.lit(""))), 256).alias("h"))
+    first = d.groupBy("h").agg(F.min("doc_id").alias("k"), F.count("*").alias("n")).where("n > 1")
+    later = hot_join(d, first.select("h", "k"), "h", hot_keys(first, "h", "n")).where("doc_id <> k")
     return later.select("doc_id", "source", F.lit("delete").alias("action"))
 
 
@@ -47,20 +48,24 @@ def _hash16(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", "label", F.conv(dedup.sign_hash(F.col("embedding")), 2, 10).cast("bigint").alias("h"))
 
 
-_PAIRS = f"e AS (SELECT vec_id, label, {_HASH16} AS h FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM e x JOIN e y ON x.vec_id < y.vec_id AND bit_count(xor(x.h, y.h)) <= {{t}}{{scope}})"
+#: Links by representatives: the smallest key of each hash, and its members at distance 0.
+_PAIRS = f"""
+e AS (SELECT vec_id, h, {{scope}} AS s FROM (SELECT *, {_HASH16} AS h FROM embeddings)), d AS (SELECT s, h, min(vec_id) AS k FROM e GROUP BY ALL),
+p AS (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM d x JOIN d y ON x.h < y.h AND x.s IS NOT DISTINCT FROM y.s AND bit_count(xor(x.h, y.h)) <= {{t}}
+      UNION ALL SELECT d.k, e.vec_id, 0 FROM e JOIN d ON e.h = d.h AND e.s IS NOT DISTINCT FROM d.s WHERE e.vec_id <> d.k)"""
 
 
-@Q("j09_hamming_pairs", "WITH " + _PAIRS.format(t=1, scope="") + " SELECT * FROM p")
+@Q("j09_hamming_pairs", "WITH " + _PAIRS.format(t=1, scope="0") + " SELECT * FROM p")
 def j09(spark, sf):
     return dedup.hamming_pairs(_hash16(spark, sf), "vec_id", "h", 16, 1)
 
 
-@Q("j09_hamming_pairs_per_class", "WITH " + _PAIRS.format(t=2, scope=" AND x.label = y.label") + " SELECT * FROM p")
+@Q("j09_hamming_pairs_per_class", "WITH " + _PAIRS.format(t=2, scope="label") + " SELECT * FROM p")
 def j09_class(spark, sf):
     return dedup.hamming_pairs(_hash16(spark, sf), "vec_id", "h", 16, 2, ["label"])
 
 
-@Q("j09_equal_hash", "SELECT x.row_id AS a, y.row_id AS b, 0::INT AS distance FROM train x JOIN train y ON lower(x.phash) = lower(y.phash) AND x.row_id < y.row_id WHERE length(trim(x.phash)) = 16")
+@Q("j09_equal_hash", "SELECT a, row_id AS b, 0::INT AS distance FROM train JOIN (SELECT lower(phash) AS h, min(row_id) AS a FROM train WHERE length(trim(phash)) = 16 GROUP BY 1) ON lower(phash) = h WHERE row_id <> a")
 def j09_equal(spark, sf):
     """Threshold 0 over the perceptual hashes of train."""
     half = lambda a: F.conv(F.substring("phash", a, 8), 16, 10).cast("bigint")
@@ -76,17 +81,17 @@ def _components(spark, sf, name):
     return dedup.components(dedup.hamming_pairs(_hash16(spark, sf), "vec_id", "h", 16, 1), Workspace(spark, name))
 
 
-@Q("u05_components", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="") + _REACH + " SELECT * FROM c")
+@Q("u05_components", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="0") + _REACH + " SELECT * FROM c")
 def u05(spark, sf):
     return _components(spark, sf, "u05")
 
 
-@Q("u06_removals", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="") + _REACH + " SELECT root AS keeper, node AS duplicate FROM c WHERE node <> root")
+@Q("u06_removals", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="0") + _REACH + " SELECT root AS keeper, node AS duplicate FROM c WHERE node <> root")
 def u06(spark, sf):
     return dedup.removals(_components(spark, sf, "u06"))
 
 
-@Q("l03_group_members", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="") + _REACH + " SELECT root AS keeper, list(node ORDER BY node) FILTER (node <> root) AS dups FROM c GROUP BY root")
+@Q("l03_group_members", "WITH RECURSIVE " + _PAIRS.format(t=1, scope="0") + _REACH + " SELECT root AS keeper, list(node ORDER BY node) FILTER (node <> root) AS dups FROM c GROUP BY root")
 def l03(spark, sf):
     return dedup.duplicate_groups(_components(spark, sf, "l03"))
 

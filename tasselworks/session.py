@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def build_session(app: str = "tasselworks", cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
@@ -78,12 +78,18 @@ class Workspace:
         self._n = 0
         _ROOTS[self.root] = spark
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **metrics: Column) -> DataFrame:
+        """Writes a frame and returns it read back; aggregates given by name are taken while it is written, without
+        another job, and stand in the result's ``observed``."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
+        schema, watch = df.schema, Observation()
+        if metrics:
+            df = df.observe(watch, *[c.alias(name) for name, c in metrics.items()])
         df.write.parquet(path)
-        back = self.spark.read.schema(df.schema).parquet(path)
+        back = self.spark.read.schema(schema).parquet(path)
         back._workspace_path = path
+        back.observed = watch.get if metrics else {}
         return back
 
     def drop(self, *frames: DataFrame) -> None:

@@ -8,6 +8,7 @@ from tasselworks.functions.constants import CLASSES, resolve_classes
 from tasselworks.functions.paths import category, number_in_name, plain_path, plot_folder, source_in_name
 from tasselworks.operators import dedup, evaluate, labels, moves, sampling, stats
 from tasselworks.operators.prefix import global_row_number, rank_in_group, running_sum
+from tasselworks.operators import skew
 from tasselworks.operators.skew import hot_join, hot_keys, salted_join
 from tasselworks.session import Workspace
 
@@ -116,11 +117,13 @@ def test_prefix_helpers(spark):
     assert {r.k: r.s for r in run.collect()} == {k: k * (k + 1) // 2 for k in range(500)}
 
 
-def test_skew_joins(spark):
+def test_skew_joins(spark, monkeypatch):
     many = spark.createDataFrame([(1 if k % 3 else k, k) for k in range(900)] + [(None, -1)], "key long, v long")
     one = spark.createDataFrame([(k, f"x{k}") for k in range(0, 900, 2)] + [(1, "x1")], "key long, name string")
-    hot = hot_keys(many.groupBy("key").agg(F.count("*").alias("n")), "key", "n", 901, max_keys=10, min_rows=10)
-    assert hot == [1]
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
+    counted = many.groupBy("key").agg(F.count("*").alias("n"))
+    hot = hot_keys(counted, "key", "n")
+    assert [r.key for r in hot.collect()] == [1] and hot_keys(counted, "key", "n", 10) is None and hot_keys(counted.where("n < 9"), "key", "n") is None
     for how in ("inner", "left"):
         want = Counter(map(tuple, many.join(one, "key", how).collect()))
         assert Counter(map(tuple, hot_join(many, one, "key", hot, how).collect())) == want
