@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import hot_join, hot_keys
+from ..operators.skew import HOT_ROWS, hot_join, hot_keys
 from ..session import Workspace
 
 MAX_ROUNDS = 60
@@ -33,41 +33,40 @@ def seed_tree_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(vertex, seed) for every vertex of ``edges`` (u bigint, v bigint) that has a neighbour; seed is the component's
     surviving minimum, equal for all vertices linked directly or indirectly."""
     spark = edges.sparkSession
-    graph = ws.keep(_symmetric(edges))
-    size = graph.count()
-    forest: list[DataFrame] = []
+    count = F.count(F.lit(1))
+    graph = ws.keep(_symmetric(edges), size=count)
+    forest: list[tuple[DataFrame, int]] = []
     for _ in range(MAX_ROUNDS):
-        if size == 0:
+        if not graph.observed["size"]:
             break
-        minima = ws.keep(graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
-        hot = hot_keys(minima, "u", "n", size)
+        minima = ws.keep(graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")), most=F.max("n"))
+        hot = hot_keys(minima, "u", "n", minima.observed["most"])
         proposals = ws.keep(
             hot_join(graph, minima.select("u", "m"), "u", hot)
             .select(F.col("v").alias("x"), "m")
             .unionByName(minima.select(F.col("u").alias("x"), "m"))
             .distinct()
         )
-        chosen = ws.keep(proposals.groupBy("x").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("x")).alias("stays"), F.count("*").alias("n")))
+        chosen = proposals.groupBy("x").agg(F.min("m").alias("low"), F.max(F.col("m") == F.col("x")).alias("stays"), F.count("*").alias("n"))
+        chosen = ws.keep(chosen, most=F.max("n"), leave=F.count_if(~F.col("stays")))
         ws.drop(graph, minima)
-        forest.append(chosen.where("not stays").select(F.col("x").alias("child"), F.col("low").alias("parent")))
-        hot = hot_keys(chosen, "x", "n", proposals.count())
+        forest.append((chosen.where("not stays").select(F.col("x").alias("child"), F.col("low").alias("parent")), chosen.observed["leave"]))
+        hot = hot_keys(chosen, "x", "n", chosen.observed["most"])
         several = chosen.where("n > 1").select("x", "low")
-        graph = ws.keep(_symmetric(hot_join(proposals, several, "x", hot).select(F.col("m").alias("u"), F.col("low").alias("v"))))
+        graph = ws.keep(_symmetric(hot_join(proposals, several, "x", hot).select(F.col("m").alias("u"), F.col("low").alias("v"))), size=count)
         ws.drop(proposals)
-        size = graph.count()
     else:
         raise RuntimeError("the graph did not shrink to its seeds")
     if not forest:
         return spark.createDataFrame([], "vertex long, seed long")
 
-    children = reduce(DataFrame.unionByName, [t.select(F.col("child").alias("vertex")) for t in forest])
-    parents = reduce(DataFrame.unionByName, [t.select(F.col("parent").alias("vertex")) for t in forest]).distinct()
+    children = reduce(DataFrame.unionByName, [t.select(F.col("child").alias("vertex")) for t, _ in forest])
+    parents = reduce(DataFrame.unionByName, [t.select(F.col("parent").alias("vertex")) for t, _ in forest]).distinct()
     labels = ws.keep(parents.join(children, "vertex", "left_anti").select("vertex", F.col("vertex").alias("seed")))
     flowed = [labels]
-    for tree in reversed(forest):
+    for tree, size in reversed(forest):
         known = reduce(DataFrame.unionByName, flowed).withColumnRenamed("vertex", "parent")
-        sizes = tree.groupBy("parent").agg(F.count("*").alias("n"))
-        hot = hot_keys(sizes, "parent", "n", tree.count())
+        hot = hot_keys(tree.groupBy("parent").agg(F.count("*").alias("n")), "parent", "n", size if size <= HOT_ROWS else None)
         flowed.append(ws.keep(hot_join(tree, known, "parent", hot).select(F.col("child").alias("vertex"), "seed")))
     return reduce(DataFrame.unionByName, flowed)
 
@@ -83,10 +82,9 @@ def match_groups(rows: DataFrame, members: str, ws: Workspace, seed: int = 0) ->
     clean = ws.keep(rows.select(F.array_distinct(F.array_compact(F.col(members))).alias("m")).where(F.size("m") > 0))
     while True:
         h = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: B023, E731
-        names = ws.keep(
-            clean.select(F.explode("m").alias("image_path")).groupBy(h(F.col("image_path")).alias("vertex")).agg(F.min("image_path").alias("image_path"), F.max("image_path").alias("other"))
-        )
-        if names.where("image_path <> other").isEmpty():
+        names = clean.select(F.explode("m").alias("image_path")).groupBy(h(F.col("image_path")).alias("vertex")).agg(F.min("image_path").alias("image_path"), F.max("image_path").alias("other"))
+        names = ws.keep(names, met=F.count_if(F.col("image_path") != F.col("other")))
+        if not names.observed["met"]:
             break
         ws.drop(names)
         seed += 1
@@ -95,6 +93,6 @@ def match_groups(rows: DataFrame, members: str, ws: Workspace, seed: int = 0) ->
     edges = clean.where(F.size("m") > 1).select(h(F.array_min("m")).alias("u"), F.explode(F.transform("m", h)).alias("v"))
     labels = seed_tree_components(edges, ws)
     named = ws.keep(names.join(labels, "vertex", "left").select("image_path", F.coalesce("seed", "vertex").alias("seed")))
-    groups = named.groupBy("seed").agg(F.min("image_path").alias("group_path"), F.count("*").alias("n"))
-    hot = hot_keys(groups, "seed", "n", named.count())
+    groups = ws.keep(named.groupBy("seed").agg(F.min("image_path").alias("group_path"), F.count("*").alias("n")), most=F.max("n"))
+    hot = hot_keys(groups, "seed", "n", groups.observed["most"] or 0)
     return hot_join(named, groups.select("seed", "group_path"), "seed", hot).select("image_path", "group_path")

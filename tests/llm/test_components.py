@@ -49,7 +49,8 @@ def test_hot_vertices_take_the_broadcast_path(spark, monkeypatch):
     import tasselworks.llm.components as c
     from tasselworks.operators import skew
 
-    monkeypatch.setattr(c, "hot_keys", lambda d, k, n, t: skew.hot_keys(d, k, n, t, max_keys=50, min_rows=5))
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(c, "HOT_ROWS", 5)
     rows = [["/hub", f"/spoke/{i}"] for i in range(300)] + [[f"/spoke/{i}", f"/z/{i}"] for i in range(0, 300, 2)]
     check(spark, rows)
 
