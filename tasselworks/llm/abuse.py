@@ -2,12 +2,19 @@
 
 Every document is cut into passages (sentences and lines). A passage is brought into a plain form that undoes common
 disguises: look-alike letters, zero-width characters, digits for letters, stretched, spelled-out and masked words. On
-the plain form vote some dozen voters, lexicons and patterns in three languages, some of them for harmless talk about
-pests, plants and tools. A generative label model estimates, from the counts of vote patterns over all passages of
-the corpus, how often each voter fires in either class, discounts voters that are correlated inside a class, and
-treats the raters' judgements of a passage's document as one more noisy voter. A linear classifier over words, pairs
-of words and votes is trained on the posterior labels of a bounded, stratified sample of passages
-(TRAIN_PER_PATTERN a pattern, TRAIN_SILENT without votes). A document's score is that of its worst passage.
+the plain form vote the lexicons and patterns of ``voters.py``, in three languages, some of them for harmless talk
+about pests, plants, tools and pictures.
+
+The label model takes the classes as hidden. What it knows of a voter is alpha, the probability that a passage on which
+it fires is abusive. Alpha is estimated from what else speaks about these passages: the other voters that fire there
+and the raters' judgements of their documents; a firing that nothing else speaks about says nothing about alpha, so a
+voter cannot vouch for itself. Raters err: how often they do is estimated, too. Correlations between voters are those
+of their firing within the abusive class; a voter's evidence is divided by one plus its correlations with the others
+that fire on the same passage. Priors are worth PRIOR_FIRINGS firings a voter; there are no bounds on any estimate.
+
+A linear classifier over content words and votes is trained on the posterior labels of a bounded, stratified
+sample of passages (TRAIN_PER_PATTERN a pattern, TRAIN_SILENT without votes). A document's score is that of its worst
+passage. The corpus is read and brought into plain form once; counts and scores are taken from the written plain form.
 
 Defined results: null, empty and blank texts have score 0; whole texts are read; repeated rows are scored again; null
 sources are reported as null; without ratings the label model works from the voters alone.
@@ -32,6 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import Workspace
+from .voters import AGAINST, FUNCTION_WORDS, NAMES, PLAIN_WORDS, STRONG_WORDS, TELLING, WEAK, pattern_votes
 
 TRAIN_PER_PATTERN = 60
 TRAIN_SILENT = 4000
@@ -39,53 +47,92 @@ TRAIN_SILENT = 4000
 TRAIN_MOST = 20_000
 THRESHOLD = 0.5
 EM_ROUNDS = 60
-#: A telling voter fires in at most this share of harmless passages (the label model's bound).
-MOST_IN_HARMLESS = 1e-5
+#: What a voter is believed to be worth before anything is counted, and how many firings that belief weighs.
+PRIOR = {"telling": 0.8, "weak": 0.03, "against": 0.002}
+PRIOR_FIRINGS = 10.0
+#: Belief how often an abusive passage escapes all telling voters.
+MISSED = 0.2
+_DISGUISE = len(NAMES)
+N_VOTERS = len(NAMES) + 1
 
 # ---------------------------------------------------------------- plain form
 #: Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("аеорсухіјѕткмнвԁԛɡαεορτυνικ", "aeopcyxijstkmhbdqgaeoptuvik")
 _LEET = str.maketrans("013457@$!|", "oieast" + "asil")
 _UNSEEN = regex.compile(r"[\p{Mn}\p{Cf}]+")
-_SPELLED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9][-_.*+~|·]){3,}[a-z0-9](?![a-z0-9])|(?<![a-z0-9])(?:[a-z] ){3,}[a-z](?![a-z0-9])")
-_STRETCH = re.compile(r"([a-z])\1{2,}")
-_MIXED = re.compile(r"(?<![a-z0-9_/.-])(?=[a-z0-9@$!|]*[a-z])(?=[a-z0-9@$!|]*[0-9@$!|][a-z0-9@$]|[a-z]+[0-9])[a-z0-9@$!|]{2,}(?![a-z0-9_/-])")
+_ODD_LETTER = regex.compile(r"[\p{Cyrillic}\p{Greek}ɡ]")
+_BOTH_ALPHABETS = regex.compile(r"[a-z][\p{Cyrillic}\p{Greek}]|[\p{Cyrillic}\p{Greek}][a-z]")
+_SPELLED = re.compile(r"(?<![a-z0-9])[a-z0-9](?:[-_.*+~|·][a-z0-9]){2,}(?![a-z0-9])|(?<![a-z0-9])[a-z0-9](?: [a-z0-9]){3,}(?![a-z0-9])")
+_STRETCH = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+_MIXED = re.compile(r"(?<![a-z0-9_/.@$!|-])(?:[a-z]+[0-9@$!|]|[0-9@$!|]+[a-z])[a-z0-9@$!|]*(?![a-z0-9_/-])")
 _STAGE = re.compile(r"[vr]\d+|\d+[a-z]{1,2}")
-_MASKED = re.compile(r"(?<![a-z_])(?:[a-z]{1,12}(?:[#*@]{2,}|__+)[a-z]{1,12}|[a-z]{2,12}(?:[#*@]{2}|__))(?![a-z_*])")
+_MASKED = re.compile(r"(?<![a-z_])[a-z]{1,9}(?:[#*@]+[a-z]{0,9}|_+[a-z]{1,9})(?![a-z_*])")
 _TOKEN = re.compile(r"[a-z]+")
 _CUT = re.compile(r"[!?\n\r]+|\.+(?=\s|$)")
-
-_INSULTS = (
-    "idiot moron imbecile bitch bastard asshole scumbag loser dimwit halfwit parasite pig rat jackass shithead clown fool cretin scum whore slut dumbass jerk prick cunt "
-    "retard swine waste filth vermin cockroach "
-    "idiota imbecil payaso pendejo inutil burro rata cerdo basura escoria tarado cabron gilipollas zorra puta parasito gusano maricon perra malnacido malnacida desgraciado desgraciada "
-    "porco palhaco lixo otario babaca vagabundo vagabunda parasita verme rato desgracado"
-).split()
-_SCORN = (
-    "worthless useless pathetic stupid ugly disgusting brainless shitty fucking filthy dumb lazy asqueroso asquerosa maldito maldita patetico patetica estupido estupida inmundo inmunda "
-    "nojento nojenta imundo imunda ridiculo"
-).split()
-_SEXUAL = (
-    "nudes nude tits dick cock pussy porn porno horny blowjob cum topless sex sexo fuck tetas desnuda desnudarte chuparte cachondo cachonda excitado excitada follar polla culo "
-    "pelada pelado tesao trepar chupar buceta transar gozar"
-).split()
-_CUES = "your wiped banned deported starved exterminarlos encerrarlos echarlos dejarlos quemarlos savages subhuman cockroaches parasites salvajes selvagens mierda hijo filho merda caliente strip naked boca".split()
-_MASKABLE = sorted({*_INSULTS, *_SCORN, *_SEXUAL, *_CUES, "filho da", "hijo de", "piece of", "waste of"})
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(sorted({re.escape(w) for w in words}, key=len, reverse=True)) + ")"
+_KNOWN = frozenset(STRONG_WORDS)
+#: Stands behind a word whose disguise was undone.
+_UNDONE = "\x02"
 
 
 @lru_cache(20_000)
 def _unmask(token: str) -> str:
-    pattern = re.compile(re.sub(r"[#*@_]", ".", re.sub(r"([a-z]+)", r"\1", token)) + "s?")
-    return next((w for w in _MASKABLE if len(w) in (len(token), len(token) - 1) and pattern.fullmatch(w + "s" * (len(token) - len(w)))), token)
+    """The strong word that fits a masked token, of equal length; the token itself without one."""
+    pattern = re.compile(re.sub(r"[#*@_]", "[a-z]", token))
+    return next((w for w in STRONG_WORDS if len(w) == len(token) and pattern.fullmatch(w)), token)
 
 
 @lru_cache(50_000)
 def _unleet(token: str) -> str:
-    return token if _STAGE.fullmatch(token) else token.translate(_LEET)
+    """The known word that digits and signs stand for; the token itself without one."""
+    tail = token.rstrip("!|$@")
+    for t in (token, tail):
+        plain = _unstretch(t.translate(_LEET))
+        if plain != t and plain in PLAIN_WORDS and not _STAGE.fullmatch(t):
+            return plain + token[len(t) :]
+    return token
+
+
+@lru_cache(20_000)
+def _unstretch(token: str) -> str:
+    """The known word of which a letter was stretched; a single letter without one."""
+    one = re.sub(r"([a-z])\1{2,}", r"\1", token)
+    for end in (one, re.sub(r"([a-z])\1{2,}", r"\1\1", token), re.sub(r"(.)\1+$", r"\1\1", one + one[-1:])):
+        if end in _KNOWN:
+            return end
+    return one
+
+
+@lru_cache(20_000)
+def _segmented(run: str) -> str:
+    """A run of spelled-out letters as words if known words make it up, in as few pieces as possible."""
+    run = run.translate(_LEET)
+    if run in _KNOWN or len(run) > 60:
+        return run
+    best: list[tuple[int, str] | None] = [(0, "")] + [None] * len(run)
+    for end in range(1, len(run) + 1):
+        for start in range(max(0, end - 14), end):
+            if best[start] is not None and run[start:end] in PLAIN_WORDS and (best[end] is None or best[start][0] + 1 < best[end][0]):
+                best[end] = (best[start][0] + 1, f"{best[start][1]} {run[start:end]}")
+    return best[-1][1].strip() if best[-1] is not None else run
+
+
+def _joined(token: str) -> str:
+    letters = re.sub(r"[^a-z0-9]", "", token)
+    return _segmented(letters) if re.search("[a-z].*[a-z]", letters) else token
+
+
+_THREE = [3 * c for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+def _undo(change):
+    def replace(m: re.Match) -> str:
+        plain = change(m[0])
+        return m[0] if plain == m[0] else plain + _UNDONE
+
+    return replace
+
+
+_DISGUISES = [(_SPELLED, _undo(_joined)), (_STRETCH, _undo(_unstretch)), (_MASKED, _undo(_unmask)), (_MIXED, _undo(_unleet))]
 
 
 def passages(text: str | None) -> list[tuple[str, bool]]:
@@ -93,192 +140,146 @@ def passages(text: str | None) -> list[tuple[str, bool]]:
     if not text:
         return []
     disguised = False
+    text = text.lower().replace(_UNDONE, " ")
     if not text.isascii():
-        folded = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-        latin = folded.translate(_ALIKE)
-        disguised, text = latin != folded, latin
-    text = text.lower()
-    if _SPELLED.search(text):
-        text = _SPELLED.sub(lambda m: re.sub(r"[^a-z0-9]", "", m[0]) if re.search("[a-z]", m[0]) else m[0], text)
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        if _ODD_LETTER.search(text):
+            # letters of two alphabets in one word are a disguise, a sentence in another alphabet is none
+            disguised = _BOTH_ALPHABETS.search(text) is not None
+            text = text.translate(_ALIKE)
+    for pattern, replace in _DISGUISES:
+        if pattern is not _STRETCH or any(three in text for three in _THREE):
+            text = pattern.sub(replace, text)
     out = []
     for part in _CUT.split(text):
         part = part.strip()
-        if not part:
-            continue
-        hidden = False
-        if _STRETCH.search(part):
-            part, hidden = _STRETCH.sub(r"\1", part), True
-        if _MASKED.search(part):
-            plain = _MASKED.sub(lambda m: _unmask(m[0]), part)
-            part, hidden = plain, hidden or plain != part
-        if _MIXED.search(part):
-            plain = _MIXED.sub(lambda m: _unleet(m[0]), part)
-            part, hidden = plain, hidden or plain != part
-        out.append((part, hidden or disguised))
+        if _UNDONE in part:
+            out.append((part.replace(_UNDONE, ""), True))
+        elif part:
+            out.append((part, disguised))
     return out
 
 
-# -------------------------------------------------------------------- voters
-_I, _A = _any(_INSULTS), _any(_SCORN)
-_GAP = r"(?:\W+\w+){0,3}?\W+"
-_DEHUMAN = _any("vermin subhuman savages cockroaches disease parasites trash scum animals plague rats filth escoria basura salvajes plaga parasitos ratas cucarachas animales lixo selvagens praga parasitas ratos baratas".split())
-_EXCLUDE = "(?:locked|thrown|banned|wiped|starved|deported|burn\\w*|shot|hanged|gassed|beaten|driven|exterminated|kept|whipped)"
-_DEAL = r"(?:encerrar|exterminar|echar|dejar|quemar|matar|expulsar|trancar|prender|deixar|queimar)[- ]?(?:l[oa]s|eles|elas)"
-
-#: Name -> pattern on the plain form. The last two speak for harmless passages.
-VOTERS: dict[str, str] = {
-    "insult_to_person": rf"\byou\b(?:\W+\w+){{0,3}}?\W+{_I}\b|\b{_I}\b(?:\W+\w+){{0,3}}?\W+(?:you are|like you)\b|\byou{_GAP}(?:piece of|waste of)\b|\b(?:whoever tagged|quien marco|quem marcou)\b.*\b(?:is|es|e)\b.*\b(?:{_I}|{_A}|piece of shit|mierda)\b|\b(?:eres|sos|voce e)\b(?:\W+\w+){{0,2}}?\W+(?:{_I}|{_A})\b|\bque (?:{_I}|hijo de puta|filho da puta) (?:tan|tao)\b|\b(?:hijo de puta|filho da puta|piece of shit)\b",
-    "insult_word": rf"\b(?:{_I}|{_A}) (?:{_A}|{_I})\b|\b{_I}\b",
-    "contempt": r"\bshut up\b|\bgo to hell\b|\bcala a boca\b|\bcallate\b|\bvete a la mierda\b|\bvai a merda\b|\bnobody asked you\b|\bnadie te pregunto\b|\bninguem te perguntou\b|\bspit on your\b|\bgoat labels better\b|\bcabra (?:etiqueta|anota) m\w+\b|\bpeople like you\b|\bgente como (?:tu|voce)\b|\bmust be ashamed that you\b|\bescupo (?:en|sobre) tu\b",
-    "second_person": r"\b(?:you|your|yourself|te|tu|ti|teu|tua|voce|eres|seu)\b",
-    "threat": r"\bi (?:will|ll|am going to)(?:\W+\w+){0,2}? find (?:you|your)\b|\bbreak your\b|\bte voy a (?:encontrar|matar|romper|buscar)\b|\bte rompere\b|\bvou te (?:achar|encontrar|matar|quebrar)\b|\b(?:te )?quebrar? (?:os|teus)\b|\b(?:kill|shoot|stab|burn) you\b",
-    "harm_wish": r"\bi hope (?:you|your|the dogs|they)\b|\bojala (?:te|que te)\b|\btomara que\b.*\b(?:te|ti|teu|voce)\b|\bwould miss you\b|\bhanged? yourself\b|\beveryone a favour\b|\bhaznos un favor\b|\bfaz um favor\b|\bpor que no vas y\b|\bpor que (?:voce )?nao (?:vai|some)\b|\bnobody minds,? so\b|\bnadie (?:te )?extranaria\b|\bninguem (?:te )?sentiria\b|\b(?:tirate|tira-te) al?\b|\bdesaparece para siempre\b|\bno deberia haber nacido\b|\bnao devia ter nascido\b|\b(?:drink|swallow|bebe|tomate) (?:the|el|o) (?:herbicid(?:e|es|a|as)?|rat bait|venenos?|weedkiller)\b|\bwalk into the (?:combine|silo)\b",
-    "group_demeaned": rf"\b(?:are|son|sao)\b(?:\W+(?:a|an|all|all of them|nothing but|una|uns|uma|puros|puras|puro))*\W+{_DEHUMAN}\b|\ball of them\b(?:\W+a)?\W+{_DEHUMAN}\b|\bpur[oa]s (?:un[ao]? )?{_DEHUMAN}\b|\bbreed like (?:a )?{_DEHUMAN}\b",
-    "group_excluded": rf"\bshould(?: all)? be {_EXCLUDE}\b|\bdeserve to be {_EXCLUDE}\b|\b(?:hay|habria|tem|teria|haveria) que {_DEAL}|\bhabria que \w+|\becharlos ?a ?palos\b|\bdeviam ser \w+|\btem que (?:exterminar|expulsar|prender|queimar|matar|trancar|deixar) (?:todos|todas|eles|elas)\b",
-    "group_hated": r"\bi hate (?!the rain|this|rain)\w+|\bodio a l[oa]s\b|\bodeio (?:os|as)\b|\bstinks: it is full of\b|\bhuele\w*.* llen[oa] de\b|\bnever let\b.*\bnear the\b|\btoo \w+ to think\b|\bsobra[nm] (?:l[oa]s|os|as)\b",
-    "sexual_word": rf"\b{_any(_SEXUAL)}\b|\bvideos? de sexo\b|\bcom ?tesao\b|\bnaked pics\b|\bsex tapes\b",
-    "solicitation": r"\bsend me\b|\bmandame\b|\bmanda (?:fotos?|videos?|porno|nudes?)\b|\bi want to\b.*\byou\b|\bbody needs you\b|\buntil you scream\b|\bhasta que grites\b|\bate (?:voce )?gritar\b|\bclick for hot\b|\bquiero \w+(?:ar|er|ir)te\b|\bquero (?:te|tirar (?:a )?tua)\b|\bi am so (?:hard|wet|horny|turned on)\b|\bestoy (?:excitad|cachond|caliente)\w*|\bestou (?:excitad\w+|com ?tesao)",
-    "pest_talk": r"\b(?:aphids|weevils|cutworms|armyworms|(?:stalk )?borers|rats in the|locusts|thrips|beetles|parasit[oa]s d(?:o|el)\W+(?:\w+\W+){0,2}gra(?:o|no)|plaga del|exterminar\W+(?:\w+\W+){0,2}(?:la|a) p\w+|cogollero|pulgones|lagartas|gorgojos?)\b",
-    "harmless_idiom": r"\b(?:idiot-proof|naked (?:eye|stalks)|stupid idea|damn rain|dead heart|garbage frames|clase basura|lixo no fundo|slow rater|cock pheasant)\b",
-}
-_NAMES = list(VOTERS)
-_AGAINST = {"pest_talk", "harmless_idiom"}
-_DISGUISE = len(_NAMES)
-N_VOTERS = len(_NAMES) + 1
-_COMPILED = [re.compile(p) for p in VOTERS.values()]
-
-
-#: Words of which a match of the voter's pattern holds at least one; a voter is only asked where one of them stands.
-_NEEDS = {
-    "insult_to_person": {*_INSULTS, *_SCORN, "piece", "waste", "puta", "mierda"},
-    "insult_word": {*_INSULTS, *_SCORN},
-    "contempt": set("shut hell boca callate mierda merda nobody nadie ninguem spit goat cabra people gente ashamed escupo".split()),
-    "second_person": set("you your yourself te tu ti teu tua voce eres seu".split()),
-    "threat": set("find break encontrar matar romper buscar rompere achar quebrar quebra kill shoot stab burn".split()),
-    "harm_wish": set("hope ojala tomara miss hang hanged favour favor vas nao minds extranaria sentiria tirate tira desaparece nacido nascido herbicid herbicide herbicides herbicida herbicidas rat veneno venenos weedkiller combine silo".split()),
-    "group_demeaned": set(_DEHUMAN[3:-1].split("|")),
-    "group_excluded": set("should deserve hay habria tem teria haveria echarlos echarlosa echarlosapalos deviam".split()),
-    "group_hated": set("hate odio odeio stinks full llena lleno never too sobra sobran sobram".split()),
-    "sexual_word": {*_SEXUAL, "videos", "video", "comtesao", "naked", "tapes"},
-    "solicitation": set("send mandame manda want body scream grites gritar click quiero quero am estoy estou".split()),
-    "pest_talk": set("aphids weevils cutworms armyworms borers rats locusts thrips beetles parasitos parasitas plaga exterminar cogollero pulgones lagartas gorgojo gorgojos".split()),
-    "harmless_idiom": set("idiot naked stupid damn dead garbage clase lixo slow cock".split()),
-}
-_ASKED = [(1 << k, _COMPILED[k].search, frozenset(_NEEDS[n])) for k, n in enumerate(_NAMES)]
-_ANY_NEED = frozenset().union(*_NEEDS.values())
-
-
-def _votes(passage: str) -> int:
-    words = _ANY_NEED.intersection(_TOKEN.findall(passage))
-    bits = 0
-    if words:
-        for bit, search, needs in _ASKED:
-            if not words.isdisjoint(needs) and search(passage):
-                bits |= bit
-    return bits
-
-
-def _mask(*names: str) -> int:
-    return sum(1 << _NAMES.index(n) for n in names)
-
-
-_SILENCED = {
-    "pest_talk": ~_mask("group_demeaned", "group_excluded", "insult_word"),
-    "harmless_idiom": ~_mask("insult_word", "sexual_word", "group_demeaned"),
-}
-_TELLING = ~_mask("insult_word", "sexual_word", "second_person", *_AGAINST)
-
-
-def votes(passage: str, hidden: bool) -> int:
-    """Bit set of the voters that fire. Voters about groups and single words abstain in talk about pests and in
-    harmless idioms; undoing a disguise counts only where a telling voter speaks against the passage."""
-    bits = _votes(passage)
-    for name, keep in _SILENCED.items():
-        if bits >> _NAMES.index(name) & 1:
-            bits &= keep
-    return bits | (1 << _DISGUISE if hidden and bits & _TELLING else 0)
+def votes(passage: str, hidden: bool, words: list[str] | None = None) -> int:
+    """Bit set of the voters that fire; undoing a disguise counts only where a telling voter speaks against the passage."""
+    bits = pattern_votes(passage, _TOKEN.findall(passage) if words is None else words)
+    return bits | (1 << _DISGUISE if hidden and bits & TELLING else 0)
 
 
 # --------------------------------------------------------------- label model
 class LabelModel:
-    """Two classes; each voter fires with a class-wise probability. Patterns are votes + rating << N_VOTERS, where the
-    rating of the passage's document is 0 (none), 1 (harmless) or 2 (abusive)."""
+    """Hidden class of every pattern. Patterns are votes + rating << N_VOTERS, where the rating of the passage's
+    document is 0 (none), 1 (harmless) or 2 (abusive)."""
 
     def __init__(self, counts: dict[int, int]):
         patterns = sorted(counts)
         n = np.array([counts[p] for p in patterns], float)
-        v = np.array([[(p >> k) & 1 for k in range(N_VOTERS)] for p in patterns], float).reshape(-1, N_VOTERS)
+        v = _matrix(patterns)
         rating = np.array([p >> N_VOTERS for p in patterns], int)
-        against = np.array([name in _AGAINST for name in _NAMES] + [False])
-        strong = np.array([name not in ("second_person", "insult_word", "sexual_word") for name in _NAMES] + [True]) & ~against
-        # starting points; they also act as priors worth 20 passages, so that rare voters stay sensible
-        p1 = np.where(against, 0.002, np.where(strong, 0.2, 0.4))
-        p0 = np.where(against, 0.05, np.where(strong, MOST_IN_HARMLESS, 0.01))
-        prior1, prior0 = p1.copy(), p0.copy()
-        said1, said0 = np.array([0.9, 0.01, 0.09]), np.array([0.9, 0.09, 0.01])
-        share = 0.005
-        self.weight = np.ones(N_VOTERS)
+        kind = ["against" if x in AGAINST else "weak" if x in WEAK else "telling" for x in NAMES] + ["weak"]
+        prior = np.array([PRIOR[k] for k in kind])
+        self.alpha, self.share = prior.copy(), 0.005
+        self.corr = np.zeros((N_VOTERS, N_VOTERS))
+        #: P(rated abusive | rated, class): how often raters say so of documents with passages of either class.
+        self.said = np.array([0.3, 0.9])
+        rated, abusive = rating > 0, rating == 2
+        telling = np.array([(p & TELLING) != 0 for p in patterns], bool)
+        # in documents of passages that no telling voter speaks against
+        plain = rated & ~telling
+        base = (3.0 + n[plain & abusive].sum()) / (10.0 + n[plain].sum())
         for step in range(EM_ROUNDS):
-            post = self._posterior(v, rating, share, p1, p0, said1, said0)
-            w1, w0 = n * post, n * (1 - post)
-            p1 = (w1 @ v + 20 * prior1) / (w1.sum() + 20)
-            p0 = np.minimum((w0 @ v + 20 * prior0) / (w0.sum() + 20), np.where(against, 0.5, np.where(strong, MOST_IN_HARMLESS, 0.05)))
-            p1 = np.where(against, np.minimum(p1, 0.02), np.maximum(p1, 2 * p0))
-            said1 = np.array([(w1[rating == r].sum() + 2 * (r == 2) + 1) for r in range(3)])
-            said0 = np.array([(w0[rating == r].sum() + 2 * (r == 1) + 1) for r in range(3)])
-            said1, said0 = said1 / said1.sum(), said0 / said0.sum()
-            share = min(max(w1[v.any(1)].sum() / max(n.sum(), 1), 1e-5), 0.05)  # what nobody votes on is no evidence
-            if step == EM_ROUNDS // 2:
-                self.weight = self._discount(v, w1, w0)
-        self.share, self.p1, self.p0, self.said1, self.said0 = share, p1, p0, said1, said0
-        self.posterior = dict(zip(patterns, self._posterior(v, rating, share, p1, p0, said1, said0).tolist()))
-
-    def _posterior(self, v, rating, share, p1, p0, said1, said0):
-        # a voter that does not fire abstains: that says nothing about the class
-        odds = math.log(share / (1 - share)) + (v * np.log(p1 / p0)) @ self.weight + np.log(said1 / said0)[rating]
-        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+            weight = self._weights(v)
+            evidence = v * weight * (_logit(self.alpha) - _logit(self.share))
+            heard = np.where(rated, np.log(np.where(abusive, self.said[1] / self.said[0], (1 - self.said[1]) / (1 - self.said[0]))), 0.0)
+            own = _sigmoid(_logit(self.share) + evidence.sum(1))
+            both = _sigmoid(_logit(self.share) + evidence.sum(1) + heard)
+            alpha = self.alpha.copy()
+            for j in range(N_VOTERS):
+                fires = v[:, j] > 0
+                # what others say about the passages on which j fires; the class is as likely beforehand as alpha says
+                rest = evidence[fires].sum(1) - evidence[fires, j] + heard[fires]
+                speaks = (v[fires].sum(1) > 1) | rated[fires]
+                if kind[j] != "telling":
+                    # that no telling voter fires speaks, too
+                    rest, speaks = rest + np.where(telling[fires], 0.0, math.log(MISSED)), np.ones(int(fires.sum()), bool)
+                post = _sigmoid(_logit(self.alpha[j]) + rest)
+                known = n[fires][speaks]
+                alpha[j] = (PRIOR_FIRINGS * prior[j] + known @ post[speaks]) / (PRIOR_FIRINGS + known.sum())
+            at = rated & telling
+            self.said = np.array([base, (4.5 + (n * own)[at & abusive].sum()) / (5.0 + (n * own)[at].sum())])
+            self.share = (0.5 + (n * both)[telling].sum()) / (100.0 + n.sum())
+            if step >= 3:
+                self.corr = self._correlations(v[telling], (n * both)[telling])
+            moved, self.alpha = np.abs(alpha - self.alpha).max(), alpha
+            if step > 5 and moved < 1e-6:
+                break
+        self.posterior = dict(zip(patterns, self.judge(patterns).tolist()))
+
+    def judge(self, patterns: list[int]) -> np.ndarray:
+        """Probability that a passage of each pattern of votes (whatever its rating) is abusive."""
+        v = _matrix(patterns)
+        return _sigmoid(_logit(self.share) + (v * self._weights(v) * (_logit(self.alpha) - _logit(self.share))).sum(1))
+
+    def _weights(self, v: np.ndarray) -> np.ndarray:
+        return 1 / (1 + v @ self.corr)
 
     @staticmethod
-    def _discount(v, w1, w0):
-        """1 / (1 + excess agreement with the other voters inside the classes)."""
-        excess = np.zeros(N_VOTERS)
-        for w in (w1, w0):
-            if w.sum() < 50:
-                continue
-            mean = w @ v / w.sum()
-            cov = (v * w[:, None]).T @ v / w.sum() - np.outer(mean, mean)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            r = np.maximum(cov / np.outer(sd, sd) - 0.3, 0)
-            np.fill_diagonal(r, 0)
-            excess = np.maximum(excess, r.sum(1))
-        return 1 / (1 + np.minimum(excess, 0.25))
+    def _correlations(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Positive correlations of the voters' firing within a class, zero on the diagonal."""
+        if w.sum() <= 0:
+            return np.zeros((N_VOTERS, N_VOTERS))
+        mean = w @ v / w.sum()
+        cov = (v * w[:, None]).T @ v / w.sum() - np.outer(mean, mean)
+        sd = np.sqrt(np.diag(cov))
+        r = np.divide(cov, np.outer(sd, sd), out=np.zeros_like(cov), where=np.outer(sd, sd) > 0)
+        np.fill_diagonal(r, 0)
+        return np.maximum(r, 0)
+
+
+def _matrix(patterns: list[int]) -> np.ndarray:
+    return ((np.array(patterns, np.int64)[:, None] >> np.arange(N_VOTERS)) & 1).astype(float).reshape(-1, N_VOTERS)
+
+
+def _logit(p):
+    return np.log(p) - np.log1p(-p)
+
+
+def _sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 # --------------------------------------------------------- linear classifier
-def features(passage: str, bits: int) -> list[str]:
-    words = _TOKEN.findall(passage)
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), *(f"#{k}" for k in range(N_VOTERS) if bits >> k & 1)]
+def features(words: list[str], bits: int) -> set[str]:
+    """Content words and votes (``#k``)."""
+    return {*words, *(f"#{k}" for k in range(N_VOTERS) if bits >> k & 1)} - FUNCTION_WORDS
+
+
+def training_set(model: LabelModel, sample: list[tuple[str, int]]) -> list[tuple[str, int, float]]:
+    """Passages with their posterior, and for every voter what the model holds of it alone, as PRIOR_FIRINGS rows
+    without words: few passages show a voter by itself."""
+    alone = [("", 1 << k) for k in range(N_VOTERS)] * int(PRIOR_FIRINGS)
+    rows = sample + alone
+    return [(p, b, float(t)) for (p, b), t in zip(rows, model.judge([b for _, b in rows]))]
 
 
-def train_linear(rows: list[tuple[str, int, float, float]], rounds: int = 150, l2: float = 0.3) -> dict[str, float]:
-    """Weights of a logistic regression on (passage, votes, target, weight); '' is the intercept."""
-    seen = Counter(f for p, b, _, _ in rows for f in set(features(p, b)))
+def train_linear(rows: list[tuple[str, int, float]], rounds: int = 200, l2: float = 5.0, l2_votes: float = 0.01) -> dict[str, float]:
+    """Weights of a logistic regression on (words of the passage, votes, target); '' is the intercept. Votes are
+    penalised less than words, so that what the voters say carries over to words that were not seen."""
+    parts = [features(p.split(), b) for p, b, _ in rows]
+    seen = Counter(f for own in parts for f in own)
     index = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= 3 or f[0] == "#"))}
     row, col = [], []
-    for r, (p, b, _, _) in enumerate(rows):
-        own = {index[f] for f in features(p, b) if f in index}
+    for r, part in enumerate(parts):
+        own = sorted(index[f] for f in part if f in index)
         row += [r] * len(own)
-        col += sorted(own)
+        col += own
     row, col = np.array(row, int), np.array(col, int)
-    y = np.array([t for _, _, t, _ in rows])
-    wt = np.array([w for _, _, _, w in rows])
-    is_vote = np.array([f[0] == "#" for f in sorted(index, key=index.get)], bool)
-    penalty = np.where(is_vote, l2 / 30, l2)
+    y = np.array([t for _, _, t in rows])
+    penalty = np.where(np.array([f[0] == "#" for f in sorted(index, key=index.get)], bool), l2_votes, l2)
     w, b = np.zeros(len(index)), -3.0
     g2, b2 = np.full(len(index), 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, w[col], len(rows)) + b
-        d = wt * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
+        d = _sigmoid(np.bincount(row, w[col], len(rows)) + b) - y
         g = np.bincount(col, d[row], len(index)) + penalty * w
         g2 += g * g
         w -= 0.5 * g / np.sqrt(g2)
@@ -287,98 +288,114 @@ def train_linear(rows: list[tuple[str, int, float, float]], rounds: int = 150, l
     return {"": float(b)} | {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-4}
 
 
-def score(text: str | None, weights: dict[str, float]) -> float:
-    """Probability that the worst passage is abusive."""
+def score_plain(plain: list[str], bits: list[int], weights: dict[str, float]) -> float:
+    """Probability that the worst of the passages is abusive."""
     get, base, worst = weights.get, weights[""], -60.0
-    for p, hidden in passages(text):
-        words = _TOKEN.findall(p)
+    for p, b in zip(plain, bits):
         z = base
-        for x in {*words, *map(" ".join, zip(words, words[1:]))}:
-            z += get(x, 0.0)
-        bits = votes(p, hidden)
+        for w in set(p.split()):
+            z += get(w, 0.0)
         k = 0
-        while bits:
-            if bits & 1:
+        while b:
+            if b & 1:
                 z += get(f"#{k}", 0.0)
-            bits >>= 1
+            b >>= 1
             k += 1
-        worst = max(worst, z)
+        if z > worst:
+            worst = z
     return 1 / (1 + math.exp(-worst)) if worst > -60 else 0.0
 
 
+def score(text: str | None, weights: dict[str, float]) -> float:
+    """Score of one text."""
+    found = [(_TOKEN.findall(p), p, hidden) for p, hidden in passages(text)]
+    return score_plain([" ".join(w) for w, _, _ in found], [votes(p, hidden, w) for w, p, hidden in found], weights)
+
+
 # ----------------------------------------------------------------- operators
-def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of patterns by document, batch by batch; at the end, of each pattern the partition's different passages
-    of lowest hash."""
-    names = ["doc_id", "bits", "n", "passage", "h"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+PLAIN = "doc_id long, source string, plain array<string>, bits array<int>, sample string, pattern int, h long"
+
+
+def _plain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Plain passages and votes of every document; at the end, of each pattern the partition's different passages of
+    lowest hash as training candidates."""
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("plain", pa.list_(pa.string())), ("bits", pa.list_(pa.int32())), ("sample", pa.string()), ("pattern", pa.int32()), ("h", pa.int64())])
     lowest: dict[int, tuple[list[tuple[int, str]], set[str]]] = {}
+    crc = zlib.crc32
     for batch in batches:
-        out = []
-        for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own: Counter = Counter()
+        plain, bits = [], []
+        for value in batch.column(2).to_pylist():
+            own_plain, own_bits = [], []
             for p, hidden in passages(value):
-                bits = votes(p, hidden)
-                own[bits] += 1
-                heap, held = lowest.setdefault(bits, ([], set()))
-                item = (-zlib.crc32(p.encode()), p)
-                if p in held:
-                    continue
-                if len(heap) < (TRAIN_PER_PATTERN if bits else TRAIN_SILENT):
-                    heapq.heappush(heap, item)
-                    held.add(p)
-                elif item > heap[0]:
+                words = _TOKEN.findall(p)
+                b = votes(p, hidden, words)
+                p = " ".join(words)
+                own_plain.append(p)
+                own_bits.append(b)
+                heap, held = lowest.setdefault(b, ([], set()))
+                item = (-crc(p.encode()), p)
+                if len(heap) < (TRAIN_PER_PATTERN if b else TRAIN_SILENT):
+                    if p not in held:
+                        heapq.heappush(heap, item)
+                        held.add(p)
+                elif item > heap[0] and p not in held:
                     held.discard(heapq.heapreplace(heap, item)[1])
                     held.add(p)
-            out += [(key, bits, count, None, None) for bits, count in own.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=names)
-    rest = [(None, bits, 0, p, -h) for bits, (heap, _) in lowest.items() for h, p in heap]
+            plain.append(own_plain)
+            bits.append(own_bits)
+        none = [None] * len(plain)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip((plain, bits, none, none, none), schema.types[2:])]], schema=schema)
+    rest = [(p, b, -h) for b, (heap, _) in lowest.items() for h, p in heap]
     if rest:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), types)], names=names)
+        none = [None] * len(rest)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, *zip(*rest)), schema.types)], schema=schema)
+
+
+def plain_form(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The written plain form: a row a document, and training candidates in rows of their own (``sample`` not null)."""
+    picked = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    return ws.keep(picked.mapInArrow(_plain_rows, PLAIN))
 
 
 def _training_rows(table: DataFrame) -> list:
-    """(bits, passage), of each pattern those of lowest hash; repeated passages count once. Ranks are taken in 256
+    """(pattern, sample), of each pattern those of lowest hash; repeated passages count once. Ranks are taken in 256
     groups of a pattern first, so that no task ranks what all partitions kept of it."""
-    kept = table.where("passage IS NOT NULL").select("bits", "h", "passage", F.pmod("h", F.lit(256)).alias("g"))
+    kept = table.where("sample IS NOT NULL").select("pattern", "h", "sample", F.pmod("h", F.lit(256)).alias("g"))
     out = []
-    for some, most in ((kept.where("bits <> 0"), TRAIN_PER_PATTERN), (kept.where("bits = 0"), TRAIN_SILENT)):
-        for groups in (["bits", "g"], ["bits"]):
-            w = W.partitionBy(*groups).orderBy("h", "passage")
+    for some, most in ((kept.where("pattern <> 0"), TRAIN_PER_PATTERN), (kept.where("pattern = 0"), TRAIN_SILENT)):
+        for groups in (["pattern", "g"], ["pattern"]):
+            w = W.partitionBy(*groups).orderBy("h", "sample")
             some = some.withColumn("k", F.dense_rank().over(w)).where(F.col("k") <= most)
-        out.append(some.select("bits", "h", "passage", "k").distinct())
-    return out[0].unionByName(out[1]).orderBy("k", "bits", "passage").limit(TRAIN_MOST).collect()
+        out.append(some.select("pattern", "h", "sample", "k").distinct())
+    return out[0].unionByName(out[1]).orderBy("k", "pattern", "sample").limit(TRAIN_MOST).collect()
 
 
-def fit(documents: DataFrame, ratings: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", rating: str = "is_abusive") -> tuple[LabelModel, dict[str, float]]:
-    """The label model over all passages, and the classifier trained on its posterior labels."""
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL")
-    table = ws.keep(docs.mapInArrow(_vote_rows, "doc_id long, bits int, n long, passage string, h long"))
+def fit(table: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", rating: str = "is_abusive") -> tuple[LabelModel, dict[str, float]]:
+    """The label model over all passages of a plain form, and the classifier trained on its posterior labels."""
     said = ratings.where(F.col(rating).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.avg(rating).alias("a"))
     said = said.where("a <> 0.5").select("doc_id", F.when(F.col("a") > 0.5, 2).otherwise(1).alias("r"))
-    pattern = F.col("bits") + F.shiftleft(F.coalesce("r", F.lit(0)), N_VOTERS)
-    # at most 3 x 2^N_VOTERS rows, whatever the corpus
-    counts = table.where("passage IS NULL").join(said, "doc_id", "left").groupBy(pattern.alias("pattern")).agg(F.sum("n").alias("n")).collect()
+    # patterns are counted in the document before the join with the ratings; at most 3 x 2^N_VOTERS rows reach the
+    # driver, whatever the corpus, and some thousands in practice
+    each = table.where("sample IS NULL").select("doc_id", F.explode("bits").alias("b")).groupBy("doc_id", "b").agg(F.count("*").alias("n"))
+    counts = each.join(said, "doc_id", "left").groupBy((F.col("b") + F.shiftleft(F.coalesce("r", F.lit(0)), N_VOTERS)).alias("pattern")).agg(F.sum("n").alias("n")).collect()
     model = LabelModel({r["pattern"]: r["n"] for r in counts})
     rows = _training_rows(table)
-    fresh = LabelModel.__new__(LabelModel)
-    fresh.weight = model.weight
-    v = np.array([[(r["bits"] >> k) & 1 for k in range(N_VOTERS)] for r in rows], float).reshape(-1, N_VOTERS)
-    post = fresh._posterior(v, np.zeros(len(rows), int), model.share, model.p1, model.p0, model.said1, model.said0)
-    weights = train_linear([(r["passage"], r["bits"], float(t), 1.0) for r, t in zip(rows, post)]) if rows else {"": -20.0}
-    return model, weights
+    if not rows:
+        return model, {"": -20.0}
+    return model, train_linear(training_set(model, [(r["sample"], r["pattern"]) for r in rows]))
 
 
-def score_documents(documents: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, score) of every row. The model is bounded by the training sample, not by the corpus."""
-    sent = documents.sparkSession.sparkContext.broadcast(weights)
+def score_documents(table: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(doc_id, source, score) of every document of a plain form. The model is bounded by the training sample."""
+    sent = table.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
         for batch in batches:
-            scores = [score(t, sent.value) for t in batch.column(2).to_pylist()]
+            scores = [score_plain(p, b, weights) for p, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "source", "score"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), text).mapInArrow(run, "doc_id long, source string, score double")
+    return table.where("sample IS NULL").select("doc_id", "source", "plain", "bits").mapInArrow(run, "doc_id long, source string, score double")
 
 
 def source_rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

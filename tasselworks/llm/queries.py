@@ -10,7 +10,7 @@ from ..operators.packed import packed_values
 from ..plans.storage import DUPLICATES, PACKED_SQL
 from ..registry import Registry, table
 from ..session import Workspace
-from .abuse import THRESHOLD, fit, score_documents, source_rates
+from .abuse import THRESHOLD, fit, plain_form, score_documents, source_rates
 from .components import match_groups
 from .grouped_split import grouped_split
 from .leakage import leaked_spans
@@ -184,9 +184,9 @@ def p9_removal_spans(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, name):
-    documents = table(spark, sf_dir, "documents")
-    _, weights = fit(documents, table(spark, sf_dir, "content_labels"), Workspace(spark, name))
-    return score_documents(documents, weights)
+    table_ = plain_form(table(spark, sf_dir, "documents"), Workspace(spark, name))
+    _, weights = fit(table_, table(spark, sf_dir, "content_labels"))
+    return score_documents(table_, weights)
 
 
 @REGISTRY.add("p10_found")
