@@ -14,7 +14,7 @@ from .abuse import THRESHOLD, fit, plain_form, score_documents, source_rates
 from .components import match_groups
 from .grouped_split import grouped_split
 from .leakage import leaked_spans
-from .ledger import ledger_sample, sample_generations
+from .ledger import Ledger, ledger_sample
 from .overlap import coverage, cross_split_matches, row_pairs
 from .proportions import proportional_sample
 from .tokenize import encode_corpus
@@ -82,38 +82,42 @@ def p2_coverage(spark, sf_dir):
     return coverage(cross_split_matches(train, evaluation, Workspace(spark, "p2c")), evaluation)
 
 
-#: The sample grows with the loads of each year.
-LEDGER_CUTS = ("2025-01-01 00:00:00", "2026-01-01 00:00:00")
 LEDGER_RATE = 0.1
 
 P3_SQL = r"""
-WITH r AS (
+WITH RECURSIVE r AS (
   SELECT row_id, image_path, label, loaded_at, ('0x' || substr(md5('42:' || image_path), 1, 15))::BIGINT AS key,
          coalesce(regexp_replace(lower(regexp_replace(label, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g'), '') AS tag
   FROM train WHERE trim(image_path) <> ''
 ), k AS (
-  SELECT key, tag AS stratum, loaded_at AS t FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at NULLS FIRST, tag) AS n FROM r) WHERE n = 1
-), l AS (SELECT *, key < 115292150460684697 AS low FROM k),
-q1 AS (
-  SELECT *, row_number() OVER (PARTITION BY stratum, low ORDER BY key) AS n, ceil(count(*) OVER (PARTITION BY stratum) * 0.1::DOUBLE) - count(*) FILTER (low) OVER (PARTITION BY stratum) AS quota
-  FROM l WHERE t < TIMESTAMP '2025-01-01'
-), m1 AS (SELECT key, stratum, 1 AS generation FROM q1 WHERE low OR n <= quota),
-q2 AS (
-  SELECT l.*, m1.generation, m1.generation IS NOT NULL OR low AS sure, row_number() OVER (PARTITION BY l.stratum, m1.generation IS NOT NULL OR low ORDER BY l.key) AS n,
-         ceil(count(*) OVER (PARTITION BY l.stratum) * 0.1::DOUBLE) - count(*) FILTER (m1.generation IS NOT NULL OR low) OVER (PARTITION BY l.stratum) AS quota
-  FROM l LEFT JOIN m1 USING (key) WHERE t < TIMESTAMP '2026-01-01'
-), m2 AS (SELECT key, stratum, coalesce(generation, 2) AS generation FROM q2 WHERE sure OR n <= quota),
-m3 AS (SELECT key, coalesce(m2.generation, 3) AS generation FROM l LEFT JOIN m2 USING (key) WHERE m2.generation IS NOT NULL OR low)
-SELECT row_id, image_path, label, generation AS selected_in FROM r JOIN m3 USING (key)
+  SELECT key, tag AS stratum, coalesce(loaded_at::DATE, DATE '1900-01-01') AS day, key < 115292150460684697 AS low
+  FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY loaded_at NULLS FIRST, tag) AS n FROM r) WHERE n = 1
+), c AS (
+  SELECT *, sum(n) OVER (PARTITION BY stratum ORDER BY day) AS seen, row_number() OVER (PARTITION BY stratum ORDER BY day) AS k
+  FROM (SELECT stratum, day, count(*) AS n, count(*) FILTER (low) AS sure FROM k GROUP BY stratum, day)
+), f AS (
+  SELECT stratum, 0::BIGINT AS k, 0::BIGINT AS taken, 0::BIGINT AS fill FROM (SELECT DISTINCT stratum FROM c)
+  UNION ALL
+  SELECT c.stratum, c.k, (taken + sure + least(greatest(ceil(seen * 0.1::DOUBLE)::BIGINT - taken - sure, 0), n - sure))::BIGINT, least(greatest(ceil(seen * 0.1::DOUBLE)::BIGINT - taken - sure, 0), n - sure)::BIGINT
+  FROM f JOIN c ON c.stratum = f.stratum AND c.k = f.k + 1
+), s AS (
+  SELECT key, day FROM (
+    SELECT k.*, CASE WHEN k.day < (SELECT max(day) FROM k) THEN fill ELSE 0 END AS fill, row_number() OVER (PARTITION BY k.stratum, k.day, low ORDER BY key) AS n
+    FROM k JOIN c ON k.stratum = c.stratum AND k.day = c.day JOIN f ON f.stratum = c.stratum AND f.k = c.k
+  ) WHERE low OR n <= fill
+)
+SELECT row_id, image_path, label, day::VARCHAR AS selected_in FROM r JOIN s USING (key)
 """
 
 
 @REGISTRY.add("p3_ledger_sample", P3_SQL)
 def p3_ledger_sample(spark, sf_dir):
-    """A tenth of the train paths of each label, grown over yearly loads; members of an earlier load stay."""
+    """A tenth of the train paths of each label, by a ledger that grows with every day of loading and is saved."""
     train = table(spark, sf_dir, "train").select("row_id", "image_path", "label", "loaded_at")
-    ledger = sample_generations(train, list(LEDGER_CUTS), LEDGER_RATE, Workspace(spark, "p3"))
-    return ledger_sample(train.drop("loaded_at"), ledger)
+    ws = Workspace(spark, "p3")
+    ledger = Ledger(spark, f"{ws.root}/ledger")
+    ledger.extend(train, LEDGER_RATE, ws)
+    return ledger_sample(train.drop("loaded_at"), ledger.load()[0])
 
 
 SPLIT_SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
