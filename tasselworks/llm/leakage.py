@@ -1,15 +1,14 @@
 """Evaluation texts leaking into training text: FM-index of every training shard, backward search of test phrases.
 
-A shard is a bounded stretch of training words. Only words of the evaluation vocabulary can be part of a match, so
-the shard keeps the runs of at least PHRASE such words; all of their suffixes are sorted, the Burrows-Wheeler
-transform goes into a wavelet matrix, and all evaluation phrases of PHRASE words are searched backwards at once.
-Occurrences are located by walking to the next sampled suffix position; overlapping occurrences are merged into
-spans of words that a removal would cut.
+A shard is a bounded stretch of training words. All of its suffixes are sorted and the Burrows-Wheeler transform, the
+vocabulary and the sampled suffix positions are written: the index of a shard stands by itself and is built once. For a
+search the transform goes into a wavelet matrix, and the evaluation phrases of PHRASE words are searched backwards at
+once. Occurrences are located by walking to the next sampled suffix position; those of phrases with the same owners
+are merged into spans of words that a removal would cut, then owners are named and their spans merged.
 
 Words are the longest runs of letters and digits, in lower case and without accents. Defined results: null, empty and
 short texts have no match; whole texts of any length are searched (a text longer than a shard is a shard of its own);
-repeated rows are found again; an empty side gives an empty result. Evaluation items are taken in blocks of bounded
-size, one pass over the corpus a block.
+repeated rows are found again; an empty side gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,9 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Workspace
+
 PHRASE = 12
 SHARD_WORDS = 400_000
-BLOCK_CHARS = 20_000_000
+#: Words of evaluation items that are gathered and broadcast at once (about 20 MB).
+BLOCK_WORDS = 1_000_000
 SAMPLE = 16
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = regex.compile(r"\p{M}+")
@@ -66,40 +68,59 @@ class WaveletMatrix:
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Order of all suffixes by prefix doubling; every separator (0) counts as a different symbol."""
+    """Order of all suffixes by prefix doubling; every separator (0) counts as a different symbol. Only suffixes that
+    still share their rank are sorted again, so repeated texts cost no more rounds for the others."""
     n = len(seq)
-    stops = np.flatnonzero(seq == 0)
-    rank = seq.astype(np.int64) + len(stops)
-    rank[stops] = np.arange(len(stops))
-    step = 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[:-step or None] = rank[step:] + 1 if step < n else 0
-        key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = new
-        if rank[order[-1]] == n - 1:
-            return order
-        step *= 2
+    symbol = seq.astype(np.int64) + np.count_nonzero(seq == 0)
+    symbol[seq == 0] = np.arange(np.count_nonzero(seq == 0))
+    rank = np.zeros(n, np.int64)  # where the group of a suffix begins in the order
+    open_, second, step = np.arange(n), symbol, 0
+    order = np.empty(n, np.int64)
+    while len(open_):
+        if step:
+            after = open_ + step
+            second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[open_] * (n + int(second.max()) + 2) + second
+        by = np.argsort(key, kind="stable")
+        open_, key = open_[by], key[by]
+        old = rank[open_]
+        new_group, old_group = np.ones(len(by), bool), np.ones(len(by), bool)
+        new_group[1:], old_group[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+        at = np.arange(len(by))
+        start = np.maximum.accumulate(np.where(new_group, at, 0))
+        new = old + start - np.maximum.accumulate(np.where(old_group, at, 0))
+        rank[open_] = new
+        alone = new_group & np.append(new_group[1:], True)
+        order[new[alone]] = open_[alone]
+        open_ = open_[~alone]
+        step = 2 * step or 1
+    return order
 
 
 class FMIndex:
-    """Index of a sequence of word ids > 0 with separators 0; the last symbol must be a separator."""
+    """Index of a sequence of word ids > 0 with separators 0; the last symbol must be a separator.
+
+    What is stored is the Burrows-Wheeler transform and the sampled suffix positions; ranks are made from them.
+    """
 
-    def __init__(self, seq: np.ndarray, n_words: int):
+    def __init__(self, before: np.ndarray, samples: np.ndarray, sampled: np.ndarray, n_words: int):
+        self.matrix = WaveletMatrix(before.astype(np.int64), max(1, int(n_words).bit_length()))
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(before, minlength=n_words + 1))]).astype(np.int64)
+        self.before, self.n, self.samples, self.sampled = before, len(before), samples, sampled
+        self.sample_no = np.cumsum(sampled) - 1
+
+    @staticmethod
+    def parts(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(transform, sampled positions, which rows are sampled)."""
         order = suffix_array(seq)
-        before = seq[order - 1]  # of the first suffix: the final separator
-        self.bits = max(1, int(n_words).bit_length())
-        self.matrix = WaveletMatrix(before.astype(np.int64), self.bits)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=n_words + 1))]).astype(np.int64)
-        self.before, self.n = before, len(seq)
-        # sampled: every SAMPLE-th position, and each first word of a run, so that no walk crosses a separator
+        before = seq[order - 1].astype(np.int32)  # of the first suffix: the final separator
+        # sampled: every SAMPLE-th position, and each first word of a text, so that no walk crosses a separator
         kept = (order % SAMPLE == 0) | (before == 0)
-        self.sampled = kept
-        self.sample_no = np.cumsum(kept) - 1
-        self.samples = order[kept]
+        return before, order[kept].astype(np.int32), kept
+
+    @classmethod
+    def build(cls, seq: np.ndarray, n_words: int) -> FMIndex:
+        return cls(*cls.parts(seq), n_words)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last+1 row of the suffixes that begin with each phrase (a row of ``phrases``)."""
@@ -131,20 +152,27 @@ class FMIndex:
 
 
 class Phrases:
-    """All different phrases of a block of evaluation items, as word ids, with the items that hold them."""
-
-    def __init__(self, items: list[tuple[int, str | None]]):
-        texts = [(i, words_of(t)) for i, t in items]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts if len(ws) >= PHRASE for w in ws}), 1)}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for i, ws in texts:
-            ids = [self.vocabulary[w] for w in ws] if len(ws) >= PHRASE else []
-            for k in range(len(ids) - PHRASE + 1):
-                owners.setdefault(tuple(ids[k : k + PHRASE]), set()).add(i)
-        self.matrix = np.array(list(owners), np.int64).reshape(-1, PHRASE)
-        flat = [sorted(o) for o in owners.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in flat])]).astype(np.int64)
-        self.owners = np.array([i for o in flat for i in o], np.int64)
+    """All different phrases of a block of evaluation items (their words), with the items that hold them."""
+
+    def __init__(self, items: np.ndarray, words: pa.ListArray):
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.vocabulary: list[str] = coded.dictionary.to_pylist()
+        sizes = np.diff(words.offsets.to_numpy())
+        starts, which = _ranges(np.cumsum(sizes) - sizes, np.maximum(sizes - PHRASE + 1, 0))
+        if not len(starts):
+            self.matrix = np.empty((0, PHRASE), np.int64)
+            return
+        every = np.lib.stride_tricks.sliding_window_view(codes, PHRASE)[starts]
+        self.matrix, back = np.unique(every, axis=0, return_inverse=True)
+        pair = np.unique(np.stack([back.ravel(), items[which]], 1), axis=0)
+        # phrases with the same owners are a class; spans are merged by class before owners are named
+        bounds = np.flatnonzero(np.append(True, pair[1:, 0] != pair[:-1, 0]))
+        classes: dict[bytes, int] = {}
+        self.class_of = np.array([classes.setdefault(own.tobytes(), len(classes)) for own in np.split(pair[:, 1], bounds[1:])], np.int64)
+        own = [np.frombuffer(o, np.int64) for o in classes]
+        self.owner_at = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64)
+        self.owners = np.concatenate(own)
 
 
 def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,82 +182,122 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin[k] + np.arange(len(k)) - first[k], k
 
 
-def search_shard(phrases: Phrases, runs: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Matches in runs (document number, first word's number, word ids): document number, item, first and last+1 word
-    of each merged span."""
-    seq = np.concatenate([np.append(ids, 0) for _, _, ids in runs])
-    starts = np.cumsum([0] + [len(ids) + 1 for _, _, ids in runs])
-    index = FMIndex(seq, len(phrases.vocabulary))
-    lo, hi = index.search(phrases.matrix)
+def _merged(doc: np.ndarray, kind: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of the same document and kind that touch or overlap become one."""
+    order = np.lexsort((first, kind, doc))
+    doc, kind, first, end = doc[order], kind[order], first[order], end[order]
+    group = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])))
+    # the furthest end so far inside a group: ends are raised by a step a group, so that a plain running maximum does it
+    wide = int(end.max()) + 1 if len(end) else 1
+    reach = np.maximum.accumulate(end + group * wide) - group * wide
+    new = np.append(True, (group[1:] != group[:-1]) | (first[1:] > reach[:-1]))
+    at = np.flatnonzero(new)
+    return doc[at], kind[at], first[at], reach[np.append(at[1:], len(doc)) - 1]
+
+
+def search_shard(phrases: Phrases, shard: dict) -> tuple[np.ndarray, ...]:
+    """Matches in a shard: text number, item, first and last+1 word of each merged span."""
+    none = (np.empty(0, np.int64),) * 4
+    known = {w: k for k, w in enumerate(shard["words"], 1)}
+    local = np.array([known.get(w, 0) for w in phrases.vocabulary], np.int64)
+    ids = local[phrases.matrix]
+    there = np.flatnonzero((ids > 0).all(1))  # a phrase with a word that the shard lacks is not in it
+    if not len(there):
+        return none
+    index = FMIndex(np.frombuffer(shard["transform"], np.int32), np.frombuffer(shard["samples"], np.int32).astype(np.int64), np.frombuffer(shard["sampled"], bool), len(shard["words"]))
+    lo, hi = index.search(ids[there])
     rows, which = _ranges(lo, hi - lo)
     if not len(rows):
-        return (np.empty(0, np.int64),) * 4
+        return none
     at = index.locate(rows)
-    run = np.searchsorted(starts, at, side="right") - 1
-    doc = np.array([d for d, _, _ in runs], np.int64)[run]
-    word = np.array([w for _, w, _ in runs], np.int64)[run] + at - starts[run]
-    slot, occ = _ranges(phrases.owner_at[which], phrases.owner_at[which + 1] - phrases.owner_at[which])
-    doc, word, item = doc[occ], word[occ], phrases.owners[slot]
-    order = np.lexsort((word, item, doc))
-    doc, word, item = doc[order], word[order], item[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] > word[:-1] + PHRASE)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], item[first], word[first], word[last] + PHRASE
-
-
-def leaked_spans(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    starts = np.frombuffer(shard["starts"], np.int64)
+    text = np.searchsorted(starts, at, side="right") - 1
+    word = at - starts[text]
+    text, kind, first, end = _merged(text, phrases.class_of[there[which]], word, word + PHRASE)
+    slot, occ = _ranges(phrases.owner_at[kind], phrases.owner_at[kind + 1] - phrases.owner_at[kind])
+    return _merged(text[occ], phrases.owners[slot], first[occ], end[occ])
+
+
+INDEX = "docs array<bigint>, words array<string>, starts binary, transform binary, samples binary, sampled binary"
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("docs", pa.list_(pa.int64())), ("words", pa.list_(pa.string())), *[(n, pa.binary()) for n in ("starts", "transform", "samples", "sampled")]])
+    docs: list[int | None] = []
+    texts: list[list[int]] = []
+    vocabulary: dict[str, int] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        seq = np.concatenate([np.append(np.array(t, np.int64), 0) for t in texts])
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]).astype(np.int64)
+        row = [docs, list(vocabulary), starts.tobytes(), *[part.tobytes() for part in FMIndex.parts(seq)]]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
+
+    for batch in batches:
+        for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words_of(value)
+            if len(words) < PHRASE:
+                continue
+            docs.append(key)
+            texts.append([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words])
+            size += len(words) + 1
+            if size >= SHARD_WORDS:
+                yield flush()
+                docs, texts, vocabulary, size = [], [], {}, 0
+    if texts:
+        yield flush()
+
+
+def build_index(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The written index: a row a shard of at most SHARD_WORDS words and one text. It knows nothing of the items, so it
+    serves any number of searches."""
+    docs = documents.select(F.col(doc_id).cast("long"), text).where(F.length(text) >= 2 * PHRASE - 1)
+    return ws.keep(docs.mapInArrow(_shards, INDEX))
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), pa.array([len(w) for w in words], pa.int64())], names=["item_id", "words", "n"])
+
+
+def search_index(index: DataFrame, items: DataFrame, ws: Workspace, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, end_word): merged spans of at least PHRASE words that a document shares with an item.
 
-    ``items`` is split into blocks of at most about BLOCK_CHARS characters, which are sent to the executors one by one.
+    The items are cut into blocks of about BLOCK_WORDS words; one block at a time is gathered, sent to the executors
+    and searched in every shard, and its result is written, so that neither the driver nor a broadcast grows with the
+    items. An item longer than a block is a block of its own.
     """
-    spark = documents.sparkSession
-    chars = items.select(F.sum(F.length(item_text))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS)
+    spark = index.sparkSession
     schema = f"{doc_id} long, {item_id} long, first_word long, end_word long"
+    picked = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    count = ws.keep(picked.mapInArrow(_item_words, "item_id long, words array<string>, n long").where(F.col("n") >= PHRASE), n=F.sum("n"))
+    blocks = -(-(count.observed["n"] or 0) // BLOCK_WORDS)
     if not blocks:
         return spark.createDataFrame([], schema)
-    docs = documents.select(F.col(doc_id).cast("long").alias(doc_id), text).where(F.length(text) >= 2 * PHRASE - 1)
+    parted = ws.keep(count.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")))
     found = []
     for b in range(blocks):
-        part = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull()).where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
-        phrases = Phrases([(r[0], r[1]) for r in part.select(F.col(item_id).cast("long"), item_text).collect()])
-        if not len(phrases.matrix):
+        block = parted.where(F.col("block") == b).select("item_id", "words").toArrow().combine_chunks()
+        if not block.num_rows:
             continue
-        sent = spark.sparkContext.broadcast(phrases)
+        sent = spark.sparkContext.broadcast((block.column(0).chunk(0), block.column(1).chunk(0)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            phrases = sent.value
-            id_of = phrases.vocabulary.get
-            ids: list[int | None] = []
-            runs: list[tuple[int, int, np.ndarray]] = []
-            size = 0
-
-            def flush():
-                doc, item, first, end = search_shard(phrases, runs)
-                keys = [ids[d] for d in doc]
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(item), pa.array(first), pa.array(end)], names=[doc_id, item_id, "first_word", "end_word"])
-
+            ids, words = sent.value
+            phrases = Phrases(ids.to_numpy(), words)
             for batch in batches:
-                for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    numbers = np.array([id_of(w, 0) for w in words_of(value)], np.int64)
-                    if len(numbers) < PHRASE:
-                        continue
-                    gaps = np.concatenate([[-1], np.flatnonzero(numbers == 0), [len(numbers)]])
-                    long = np.flatnonzero(np.diff(gaps) > PHRASE)
-                    if not len(long):
-                        continue
-                    ids.append(key)
-                    for g in long:
-                        piece = numbers[gaps[g] + 1 : gaps[g + 1]]
-                        runs.append((len(ids) - 1, int(gaps[g] + 1), piece))
-                        size += len(piece) + 1
-                    if size >= SHARD_WORDS:
-                        yield flush()
-                        ids, runs, size = [], [], 0
-            if runs:
-                yield flush()
+                for shard in batch.to_pylist():
+                    text, item, first, end = search_shard(phrases, shard)
+                    keys = pa.array(shard["docs"], pa.int64()).take(pa.array(text))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(item), pa.array(first), pa.array(end)], names=[doc_id, item_id, "first_word", "end_word"])
 
-        found.append(docs.mapInArrow(run, schema))
+        found.append(ws.keep(index.mapInArrow(run, schema)))
+        sent.destroy()
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def leaked_spans(documents: DataFrame, items: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``search_index`` over ``build_index``."""
+    return search_index(build_index(documents, ws, doc_id, text), items, ws, doc_id, item_id, item_text)

@@ -176,15 +176,27 @@ SELECT DISTINCT doc_id, item_id FROM e JOIN g USING (p)
 @REGISTRY.add("p9_found", P9_SQL)
 def p9_found(spark, sf_dir):
     """Documents and the held-out items of which they hold at least 12 words in a row."""
-    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items")).select("doc_id", "item_id").distinct()
+    return leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), Workspace(spark, "p9")).select("doc_id", "item_id").distinct()
 
 
-@REGISTRY.add("p9_removal_spans")
+#: Runs of words that document and item share are runs of consecutive phrases in the document.
+P9_SPANS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, split, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT item_id, split, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i)),
+e AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+m AS (SELECT DISTINCT doc_id, item_id, split, k FROM e JOIN g USING (p)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY k) AS s FROM (SELECT *, CASE WHEN k - lag(k, 1, -99) OVER (PARTITION BY doc_id, item_id ORDER BY k) > 12 THEN 1 ELSE 0 END AS new FROM m))
+SELECT doc_id, item_id, split, min(k) - 1 AS first_word, max(k) + 11 AS end_word FROM n GROUP BY doc_id, item_id, split, s
+"""
+
+
+@REGISTRY.add("p9_removal_spans", P9_SPANS_SQL)
 def p9_removal_spans(spark, sf_dir):
     """The merged word spans behind p9_found, with the item's split: what a removal would cut from a document."""
     items = table(spark, sf_dir, "heldout_items")
-    spans = leaked_spans(table(spark, sf_dir, "documents"), items)
-    return spans.join(F.broadcast(items.select("item_id", "split")), "item_id").select("doc_id", "item_id", "split", "first_word", "end_word")
+    spans = leaked_spans(table(spark, sf_dir, "documents"), items, Workspace(spark, "p9s"))
+    return spans.join(items.select("item_id", "split"), "item_id").select("doc_id", "item_id", "split", "first_word", "end_word")
 
 
 def _scored(spark, sf_dir, name):
