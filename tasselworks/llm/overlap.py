@@ -33,6 +33,11 @@ MAX_BITS = 4
 #: Evaluation passages in one automaton (about 40 MB), and training passages that are scanned as one text.
 SHARD_PASSAGES = 150_000
 SALTS = 8
+#: A passage with more evaluation values is cut into parts of about this many; its training values are salted.
+HOT_VALUES = 20_000
+HOT_SALTS = 16
+#: Candidate pairs that are verified at once (about 200 MB while they are).
+SLICE_PAIRS = 2_000_000
 IDENTITY = 0
 _EDGES = [0] + [8 + 7 * k for k in range(9)]  # nine bands of 8, 7, 7, ... bits
 _LINES = sorted({tuple(sorted((x + t * dx) % 3 * 3 + (y + t * dy) % 3 for t in range(3))) for x in range(3) for y in range(3) for dx, dy in ((1, 0), (0, 1), (1, 1), (1, 2))})
@@ -86,16 +91,30 @@ def _units(rows: DataFrame, row_id: str, path: str, phash: str) -> DataFrame:
     )
 
 
-def _passages(units: DataFrame, train: bool, shards: int) -> DataFrame:
-    """(route, value): a row per passage; route = shard, side and kind, so that it sorts evaluation before training."""
+def _passages(units: DataFrame) -> DataFrame:
+    """(kind, key, value): a row per passage."""
     h = F.col("value")
+    passage = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    lines = F.array(*[passage(k, _line_key(h, line)) for k, line in enumerate(_LINES, 1)])
+    return units.select(F.explode(F.when(F.col("near"), lines).otherwise(F.array(passage(IDENTITY, h)))).alias("p"), "value").select("p.kind", "p.key", "value")
 
-    def route(kind: int, key: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(kind), key), F.lit(shards)) * 32 + (16 if train else 0) + kind
 
-    lines = F.array(*[route(k, _line_key(h, line)) for k, line in enumerate(_LINES, 1)])
-    routes = F.when(F.col("near"), lines).otherwise(F.array(route(IDENTITY, h)))
-    return units.select(F.explode(routes).alias("route"), "value")
+def _routed(passages: DataFrame, train: bool, shards: int, hot: DataFrame | None) -> DataFrame:
+    """(route, value); route = shard, side and kind, so that it sorts evaluation before training.
+
+    A hot passage is cut into ``parts`` of evaluation values and HOT_SALTS of training values; each part meets each
+    salt in a shard of its own.
+    """
+    cell = F.lit(0)
+    if hot is not None:
+        passages = passages.join(F.broadcast(hot), ["kind", "key"], "left")
+        own = F.pmod(F.xxhash64(F.lit(1), "value"), F.lit(HOT_SALTS) if train else F.col("parts"))
+        others = F.sequence(F.lit(0), (F.col("parts") if train else F.lit(HOT_SALTS)).cast("int") - 1)
+        cells = F.transform(others, lambda x: (x * HOT_SALTS + own if train else own * HOT_SALTS + x).cast("bigint") + 1)
+        passages = passages.withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
+        cell = F.col("cell")
+    route = F.pmod(F.xxhash64("kind", "key", cell), F.lit(shards)) * 32 + (16 if train else 0) + F.col("kind")
+    return passages.select(route.alias("route"), "value")
 
 
 def _texts(kind: int, key: np.ndarray) -> np.ndarray:
@@ -128,22 +147,29 @@ class ShardAutomaton:
                 self.automaton.add_word(block[n * size : (n + 1) * size], n)
         self.automaton.make_automaton()
 
-    def scan(self, kind: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Verified (training value, evaluation value, bit set of the passages' matched intervals)."""
-        empty = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    def scan(self, kind: int, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Verified (training value, evaluation value, bit set of the passages' matched intervals), in slices of at most
+        about SLICE_PAIRS candidates."""
         if kind not in self.values:
-            return empty
+            return
         key = train if kind == IDENTITY else _np_line_key(train, _LINES[kind - 1])
         text = np.ascontiguousarray(_texts(kind, key)).tobytes().decode("utf-32-le")
         hits = np.array(list(self.automaton.iter(text)), np.int64).reshape(-1, 2)
         if not len(hits):
-            return empty
+            return
         starts, own = self.values[kind]
         at, pattern = hits[:, 0] // (_DIGITS[kind] + 1), hits[:, 1]
         size = starts[pattern + 1] - starts[pattern]
+        upto = np.cumsum(size)
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(SLICE_PAIRS, upto[-1], SLICE_PAIRS)), [len(size)]]))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield self._verify(kind, train[at[lo:hi]], own, starts[pattern[lo:hi]], size[lo:hi])
+
+    @staticmethod
+    def _verify(kind: int, train: np.ndarray, own: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         k = np.repeat(np.arange(len(size)), size)
-        b = own[starts[pattern][k] + np.arange(len(k)) - (np.cumsum(size) - size)[k]]
-        a = train[at[k]]
+        b = own[begin[k] + np.arange(len(k)) - (np.cumsum(size) - size)[k]]
+        a = train[k]
         if kind == IDENTITY:
             return a, b, np.full(len(a), 1 << len(_EDGES), np.int64)
         differ = a ^ b
@@ -180,21 +206,26 @@ def _scan_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if automaton is None:
                 automaton = ShardAutomaton(np.concatenate([k for k, _ in held]), np.concatenate([v for _, v in held]))
-            a, b, cover = automaton.scan(kind, value[lo:hi])
-            if len(a):
+            for a, b, cover in automaton.scan(kind, value[lo:hi]):
+                if not len(a):
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind != IDENTITY)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cover)], names=["near", "train_value", "value", "cover"])
 
 
 def matched_values(train_units: DataFrame, eval_units: DataFrame, ws: Workspace) -> DataFrame:
     """(near, train_value, value, cover): pairs of equal identities and of hashes within MAX_BITS, each once."""
     spark = train_units.sparkSession
-    once = ws.keep(eval_units.select("near", "value").distinct())
-    count = once.agg(F.sum(F.when(F.col("near"), len(_LINES)).otherwise(1))).first()[0] or 0
+    once = ws.keep(eval_units.select("near", "value").distinct(), count=F.sum(F.when(F.col("near"), len(_LINES)).otherwise(1)))
+    count = once.observed["count"] or 0
     if not count:
         return spark.createDataFrame([], "near boolean, train_value long, value long, cover long")
     tasks = max(-(-count // SHARD_PASSAGES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = 4 * tasks  # several a task, so that tasks come out even
-    both = _passages(once, False, shards).unionByName(_passages(train_units.select("near", "value").distinct(), True, shards))
+    # passages with many evaluation values, count / HOT_VALUES at most; only hashes can share a passage
+    hot = _passages(once.where("near")).groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_VALUES)
+    hot = ws.keep(hot.select("kind", "key", F.ceil(F.col("n") / F.lit(HOT_VALUES)).alias("parts")), n=F.count(F.lit(1)))
+    hot = hot if hot.observed["n"] else None
+    both = _routed(_passages(once), False, shards, hot).unionByName(_routed(_passages(train_units.select("near", "value").distinct()), True, shards, hot))
     routed = both.repartition(tasks, F.shiftright("route", 5)).sortWithinPartitions("route")
     return ws.keep(routed.mapInArrow(_scan_shards, "near boolean, train_value long, value long, cover long"))
 

@@ -62,3 +62,17 @@ def test_hot_copies_and_empty_sides(spark):
     assert row_pairs(cross_split_matches(t, e, Workspace(spark, "t"))).count() == 40 * 20
     assert row_pairs(cross_split_matches(t, e.limit(0), Workspace(spark, "t"))).count() == 0
     assert row_pairs(cross_split_matches(t.limit(0), e, Workspace(spark, "t"))).count() == 0
+
+
+def test_near_blank_hashes_are_cut_into_parts(spark, monkeypatch):
+    from tasselworks.llm import overlap
+
+    monkeypatch.setattr(overlap, "HOT_VALUES", 40)
+    monkeypatch.setattr(overlap, "HOT_SALTS", 3)
+    monkeypatch.setattr(overlap, "SLICE_PAIRS", 500)
+    rng = random.Random(9)
+    near_blank = lambda: sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 5)))
+    train = [(k, None, f"{near_blank():016x}", None, "train") for k in range(500)]
+    evaluation = [(1000 + k, None, f"{near_blank():016x}", None, "val") for k in range(300)]
+    got = [(r.row_id_a, r.row_id_b) for r in row_pairs(cross_split_matches(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(evaluation, SCHEMA), Workspace(spark, "t"))).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(train, evaluation, lambda r: None)
