@@ -44,6 +44,10 @@ def allocate(shares: list[float], floors: list[int], caps: list[int], size: floa
     return counts(high)
 
 
+def random_start(seed: int) -> float:
+    return int(hashlib.sha256(f"start:{seed}".encode()).hexdigest()[:12], 16) / 16**12
+
+
 def proportional_sample(
     rows: DataFrame, targets: DataFrame, ws: Workspace, row_id: str = "row_id", label: str = "label", environment: str = "environment", divisor: int = 5, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -71,17 +75,17 @@ def proportional_sample(
     floors = [int(r["floor"] or 0) for r in known]
     counts = allocate(shares, floors, caps, total / divisor)
 
-    u = int(hashlib.sha256(f"start:{seed}".encode()).hexdigest()[:12], 16) / 16**12
+    u = random_start(seed)
     base, first, blocks, before, plan = 0.0, 0, 0, 0, []
     for n, cap in enumerate(caps):
         size = max(1, -(-cap // BLOCK_ROWS))
         plan.append((n, cap, base, counts[n] / cap if cap else 0.0, before, blocks, size))
         base, before, blocks = base + counts[n], before + cap, blocks + size
     steps = F.broadcast(spark.createDataFrame(plan, "code int, cap long, base double, pi double, before long, block0 int, blocks int"))
-    order = F.xxhash64(F.lit(seed), F.col("row_id"))
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string"))), 1, 15), 16, 10).cast("bigint")
     # the top bits of the hash choose the block, so that blocks follow the order and are even
-    slot = F.shiftright(F.shiftrightunsigned(order, 32) * F.col("blocks"), 32).cast("int")
-    placed = tagged.join(steps, "code").withColumn("__o", F.shiftrightunsigned(order, 1)).withColumn("__b", F.col("block0") + slot).withColumn("__one", F.lit(1))
+    slot = F.shiftright(F.shiftright(F.col("__o"), 28) * F.col("blocks"), 32).cast("int")
+    placed = tagged.join(steps, "code").withColumn("__o", order).withColumn("__b", F.col("block0") + slot).withColumn("__one", F.lit(1))
     placed = running_sum(placed, "__b", ["__o", "row_id"], "__one", "__n")
     rank = F.col("__n") - F.col("before")
     upto = lambda r: F.floor(F.lit(u) + F.col("base") + r * F.col("pi"))
@@ -97,9 +101,8 @@ def proportional_sample(
     names = spark.createDataFrame([(n, r["label"], r["environment"], c, s, f, float(x)) for n, (r, c, s, f, x) in enumerate(zip(known, caps, shares, floors, counts))],
                                   "code int, label string, environment string, available long, target_share double, min_rows long, planned double")
     selected = sample.groupBy("code").agg(F.count("*").alias("selected"))
-    milli = F.round(F.col("target_share") * 1000).cast("bigint")
-    # whole numbers, so that no rounding decides whether a share is reachable
-    too_few = F.col("available") * 1000 * divisor < milli * F.lit(total)
+    # decimals as the share is written, so that no rounding decides whether it is reachable
+    too_few = (F.col("available") * divisor).cast("decimal(20,0)") < F.col("target_share").cast("decimal(17,15)") * F.lit(total).cast("decimal(20,0)")
     report = names.join(selected, "code", "left").select(
         "label", "environment", "target_share", "min_rows", "available", F.bround("planned", 6).alias("planned"), F.coalesce("selected", F.lit(0)).alias("selected"),
         ((F.coalesce("selected", F.lit(0)) < F.col("min_rows")) | too_few).alias("impossible"),

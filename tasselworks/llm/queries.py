@@ -15,8 +15,8 @@ from .components import match_groups
 from .grouped_split import grouped_split
 from .leakage import leaked_spans
 from .ledger import Ledger, ledger_sample
-from .overlap import coverage, cross_split_matches, row_pairs
-from .proportions import proportional_sample
+from .overlap import _EDGES, _LINES, MAX_BITS, coverage, cross_split_matches, row_pairs
+from .proportions import proportional_sample, random_start
 from .tokenize import encode_corpus
 
 REGISTRY = Registry()
@@ -74,7 +74,27 @@ def p2_found(spark, sf_dir):
     return row_pairs(cross_split_matches(train, _evaluation(spark, sf_dir), Workspace(spark, "p2")))
 
 
-@REGISTRY.add("p2_coverage")
+def _cover_sql() -> str:
+    """Bands that two hashes ``t.h`` and ``e.h`` share in whole lines, as a bit set."""
+    parts = []
+    for line in _LINES:
+        mask = sum(((1 << (_EDGES[band + 1] - _EDGES[band])) - 1) << _EDGES[band] for band in line)
+        parts.append(f"CASE WHEN xor(t.h, e.h) & {mask}::UBIGINT = 0 THEN {sum(1 << band for band in line)} ELSE 0 END")
+    return " | ".join(parts)
+
+
+P2_COVERAGE_SQL = P2_SQL[: P2_SQL.index("), p AS (")] + f"""), m AS (
+  SELECT e.row_id, true AS near, ({_cover_sql()})::BIGINT AS cover FROM k t JOIN k e ON t.split = 'train' AND e.split <> 'train' AND bit_count(xor(t.h, e.h)) <= {MAX_BITS}
+  UNION ALL
+  SELECT e.row_id, false, {1 << len(_EDGES)} FROM k t JOIN k e ON t.src = e.src AND t.num = e.num AND t.split = 'train' AND e.split <> 'train'
+), c AS (SELECT row_id, bit_or(cover) AS cover, count(*) FILTER (near) AS n_near, count(*) FILTER (NOT near) AS n_same FROM m GROUP BY row_id)
+SELECT split, coalesce(src, 'unknown') AS source, count(*) AS n_records, count(cover) AS n_leaked, count(*) FILTER (n_same > 0) AS n_same_picture, count(*) FILTER (n_near > 0) AS n_near_hash,
+       coalesce(sum(n_near), 0)::BIGINT AS near_pairs, coalesce(sum(n_same), 0)::BIGINT AS same_pairs, round(avg(bit_count(cover) / 10.0), 6) AS mean_coverage
+FROM k LEFT JOIN c USING (row_id) WHERE split <> 'train' GROUP BY ALL
+"""
+
+
+@REGISTRY.add("p2_coverage", P2_COVERAGE_SQL)
 def p2_coverage(spark, sf_dir):
     """Cross-split overlaps per split and source."""
     train = table(spark, sf_dir, "train").select("row_id", "image_path", "phash")
@@ -146,13 +166,46 @@ def p6_found(spark, sf_dir):
     return report.where("impossible").select("label", "environment")
 
 
-@REGISTRY.add("p6_sample")
+#: Counts by the scale at which the clipped shares sum to a fifth of train; where a category's running sum of
+#: probabilities crosses an integer, a row is in.
+P6_PLAN_SQL = P6_SQL[: P6_SQL.index("SELECT s.label")].replace("WITH t AS", "WITH RECURSIVE t AS").rstrip() + f""",
+w AS (SELECT label, environment, l, e, target_share, min_rows, coalesce(n, 0) AS n FROM (SELECT *, label AS l, environment AS e FROM target_shares) LEFT JOIN c USING (l, e)),
+z AS (SELECT (SELECT count(*) FROM train) / 5.0::DOUBLE AS size),
+b AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS low, (SELECT max(n / target_share) FROM w WHERE target_share > 0)::DOUBLE AS high
+  UNION ALL
+  SELECT step + 1, CASE WHEN s < size THEN mid ELSE low END, CASE WHEN s < size THEN high ELSE mid END
+  FROM (SELECT step, low, high, (low + high) / 2 AS mid, (SELECT sum(least(greatest((low + high) / 2 * target_share, least(min_rows, n)), n)) FROM w) AS s FROM b), z WHERE step < 200
+),
+a AS (
+  SELECT *, CASE WHEN (SELECT sum(n) FROM w) <= size THEN n
+                 WHEN abs((SELECT sum(least(greatest(size * target_share, least(min_rows, n)), n)) FROM w) - size) < 1e-9 * greatest(size, 1) THEN least(greatest(size * target_share, least(min_rows, n)), n)
+                 ELSE least(greatest((SELECT high FROM b WHERE step = 200) * target_share, least(min_rows, n)), n) END::DOUBLE AS planned
+  FROM w, z
+),
+p AS (SELECT *, {random_start(42)!r}::DOUBLE + coalesce(sum(planned) OVER (ORDER BY l, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, CASE WHEN n > 0 THEN planned / n ELSE 0 END AS pi FROM a),
+r AS (
+  SELECT row_id, p.label, p.environment, p.l, p.e, floor(base + k * pi) > floor(base + (k - 1) * pi) AS hit FROM (
+    SELECT row_id, l, e, row_number() OVER (PARTITION BY l, e ORDER BY ('0x' || substr(md5('42:' || row_id), 1, 15))::BIGINT, row_id) AS k
+    FROM (SELECT row_id, {P6_SQL[P6_SQL.index("regexp_replace"): P6_SQL.index(" AS l,")]} AS l, {P6_SQL[P6_SQL.index("regexp_replace(lower(regexp_replace(environment"): P6_SQL.index(" AS e FROM")]} AS e FROM train)
+  ) JOIN p USING (l, e)
+)
+"""
+
+
+@REGISTRY.add("p6_sample", P6_PLAN_SQL + "SELECT row_id, label, environment FROM r WHERE hit")
 def p6_sample(spark, sf_dir):
     """The sample of one fifth of train itself."""
     return proportional_sample(table(spark, sf_dir, "train"), table(spark, sf_dir, "target_shares"), Workspace(spark, "p6s"))[0]
 
 
-@REGISTRY.add("p6_report")
+@REGISTRY.add(
+    "p6_report",
+    P6_PLAN_SQL
+    + """, g AS (SELECT l, e, count(*) FILTER (hit) AS selected FROM r GROUP BY ALL)
+SELECT label, environment, target_share, min_rows, n AS available, round(planned, 6) AS planned, coalesce(selected, 0) AS selected,
+       coalesce(selected, 0) < min_rows OR n * 5000 < round(target_share * 1000)::BIGINT * (SELECT count(*) FROM train) AS impossible FROM p LEFT JOIN g USING (l, e)""",
+)
 def p6_report(spark, sf_dir):
     """Available, planned and selected rows of every target category."""
     return proportional_sample(table(spark, sf_dir, "train"), table(spark, sf_dir, "target_shares"), Workspace(spark, "p6r"))[1]
