@@ -70,8 +70,8 @@ def digest_number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def weighted_draws(df: DataFrame, label: str, key: str, draws: int, seed: int = SEED) -> DataFrame:
-    """(draw, label, key): draws with replacement, every class with the same weight (R-05).
+def weighted_draws(df: DataFrame, label: str, key: str, draws: int | None = None, seed: int = SEED) -> DataFrame:
+    """(draw, label, key): draws with replacement, every class with the same weight (R-05); as many as rows by default.
 
     Draw i takes class hash(i) mod C and in it the row number hash'(i) mod n of the class in hash order; both sides
     are then joined on (class, number). Only the bounded table of class counts is broadcast.
@@ -80,7 +80,8 @@ def weighted_draws(df: DataFrame, label: str, key: str, draws: int, seed: int =
     ranked = rank_in_group(df.select(label, key).withColumn("__o", hash_order(F.col(key), seed)), [label], "__o", [key], "__k").select(label, key, "__k")
     classes = df.groupBy(label).agg(F.count("*").alias("__n")).withColumn("__c", (F.row_number().over(W.orderBy(label)) - 1).cast("bigint"))
     classes = classes.withColumn("__classes", F.count("*").over(W.partitionBy()))
-    count = df.select(F.count_distinct(label)).first()[0]
+    count, rows = df.agg(F.count_distinct(label), F.count("*")).first()
+    draws = rows if draws is None else draws
     if not count:
         return spark.createDataFrame([], df.select(F.lit(0).cast("bigint").alias("draw"), label, key).schema)
     tag = lambda t: digest_number(F.concat(F.lit(f"{seed}:{t}:"), F.col("draw").cast("string")))
@@ -89,6 +90,11 @@ def weighted_draws(df: DataFrame, label: str, key: str, draws: int, seed: int =
     return d.join(ranked, [label, "__k"]).select("draw", label, key)
 
 
+def view_limit(df: DataFrame, order: str, limit: int = 500) -> DataFrame:
+    """The first rows of a view; a limit of 0 or less is none (L-06)."""
+    return df.orderBy(order).limit(limit) if limit > 0 else df
+
+
 def unique_suffixes(df: DataFrame, key: str, used: DataFrame, number: str, ws, digits: int = 8) -> DataFrame:
     """Adds ``suffix``: an unused number of ``digits`` digits for every row, the same in every run (W-07).
 
@@ -98,7 +104,7 @@ def unique_suffixes(df: DataFrame, key: str, used: DataFrame, number: str, ws, d
     todo, taken = ws.keep(df), used.select(F.col(number).cast("bigint").alias("suffix")).distinct()
     done = None
     for attempt in range(60):
-        candidate = F.pmod(F.xxhash64(F.lit(attempt), F.col(key)), F.lit(span)) + 10 ** (digits - 1)
+        candidate = F.pmod(digest_number(F.concat(F.lit(f"{attempt}:"), F.col(key).cast("string"))), F.lit(span)) + 10 ** (digits - 1)
         first = W.partitionBy("suffix").orderBy(key)
         tried = todo.withColumn("suffix", candidate).join(taken.withColumn("__used", F.lit(True)), "suffix", "left").withColumn("__n", F.row_number().over(first))
         tried = ws.keep(tried)

@@ -6,7 +6,7 @@ import importlib
 
 from ..registry import Registry
 
-_FAMILIES = ("storage", "statistics", "duplicates", "samples", "evaluation", "labels", "moves", "names", "filters", "streams")
+_FAMILIES = ("storage", "statistics", "duplicates", "samples", "evaluation", "labels", "moves", "names", "filters", "roundtrips", "streams")
 
 
 def registry() -> Registry:

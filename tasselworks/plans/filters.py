@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ANNOTATION_CLASSES, BASELINE_CLASSES, ENVIRONMENTS, resolve_classes
 from ..functions.paths import category
+from ..operators.sampling import digest_number
 from ..registry import Registry, table
 from .common import BASE_SQL, SPLITS, cat_sql, listed, manifest
 
@@ -100,10 +101,11 @@ def f09(spark, sf):
     return table(spark, sf, "val").where("image_path IS NOT NULL").select("row_id", F.split("image_path", "/", 2)[0].alias("head"))
 
 
-@Q("f12_integer_parse", r"SELECT file_id, CASE WHEN regexp_full_match(trim(t), '[+-]?\d{1,9}') THEN trim(t)::INT END AS number FROM (SELECT file_id, split_part(body, ' ', 1) AS t FROM annot_files WHERE body IS NOT NULL)")
+@Q("f12_integer_parse", r"SELECT file_id, CASE WHEN regexp_full_match(t, '[+-]?\d{1,9}') THEN t::INT END AS number FROM (SELECT file_id, unnest(regexp_extract_all(body, '[^ \t\r\n]+')) AS t FROM annot_files)")
 def f12(spark, sf):
-    """Whole numbers; a bad token is null."""
-    return table(spark, sf, "annot_files").where("body IS NOT NULL").select("file_id", F.split_part("body", F.lit(" "), F.lit(1)).alias("t")).select("file_id", F.expr("try_cast(t AS int)").alias("number"))
+    """Whole numbers among all tokens of the bodies; any other token is null."""
+    tokens = table(spark, sf, "annot_files").select("file_id", F.explode(F.regexp_extract_all("body", F.lit(r"[^ \t\r\n]+"), F.lit(0))).alias("t"))
+    return tokens.select("file_id", F.when(F.col("t").rlike(r"\A[+-]?[0-9]{1,9}\z"), F.col("t").cast("int")).alias("number"))
 
 
 @Q("f16_half_even", "SELECT p_partkey, round_even(p_retailprice / 8, 1) AS r1, round_even(p_retailprice / 8, 2) AS r2, round_even(p_size / 8, 0) AS r0 FROM part")
@@ -112,15 +114,15 @@ def f16(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.bround(x, 1).alias("r1"), F.bround(x, 2).alias("r2"), F.bround(s, 0).alias("r0"))
 
 
-@Q("f19_digit_check", r"SELECT doc_id, regexp_full_match(trim(left(text, 4)), '\d+') AS is_number FROM documents WHERE text IS NOT NULL")
+@Q("f19_digit_check", r"SELECT doc_id, regexp_full_match(trim(text), '\d+') AS is_number FROM documents WHERE text IS NOT NULL")
 def f19(spark, sf):
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.trim(F.left("text", F.lit(4))).rlike(r"\A[0-9]+\z").alias("is_number"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.trim("text").rlike(r"\A[0-9]+\z").alias("is_number"))
 
 
-@Q("f22_fast_hash")
+@Q("f22_fast_hash", "SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS h FROM documents")
 def f22(spark, sf):
-    """64-bit content hash; its values are the engine's own."""
-    return table(spark, sf, "documents").select("doc_id", F.xxhash64("text").alias("h"))
+    """Short content hash: 60 bits of md5, the same in every engine; null for a null text."""
+    return table(spark, sf, "documents").select("doc_id", digest_number(F.col("text")).alias("h"))
 
 
 @Q("f26_name_assembly", "SELECT file_id, 'leaf_' || (10000000 + file_id) || '.txt' AS name FROM annot_files")

@@ -10,6 +10,7 @@ from ..operators.prefix import global_row_number
 from ..registry import Registry, table
 from ..session import Workspace
 from .labels import _ANN, _DEST_SQL, _DOM, _FLAGS_SQL, _LINES, _dominant, _onehot
+from .samples import suffix_sql, used_sql
 
 REGISTRY = Registry()
 Q = REGISTRY.add
@@ -45,6 +46,13 @@ def n05(spark, sf):
     return moves.plan(t.select("src", F.concat(F.lit("clean/all/"), _name("src")).alias("dst")), "copy", taken, t)
 
 
+@Q("n06_move_skip_existing", f"WITH p AS (SELECT src, 'clean/gray_leaf_spot/' || {_NAME.format(c='src')} AS dst FROM ({_TRAIN})), x AS (SELECT 'clean/gray_leaf_spot/' || {_NAME.format(c='image_path')} AS dst FROM annot_files), h AS ({_TRAIN}) {_STATUS.format(action='move')}")
+def n06(spark, sf):
+    t = _train(spark, sf)
+    taken = table(spark, sf, "annot_files").select(F.concat(F.lit("clean/gray_leaf_spot/"), _name("image_path")).alias("dst"))
+    return moves.plan(t.select("src", F.concat(F.lit("clean/gray_leaf_spot/"), _name("src")).alias("dst")), "move", taken, t)
+
+
 @Q("n07_move_matching", f"WITH p AS (SELECT src, replace(src, '/real/', '/lab/') AS dst FROM ({_TRAIN}) WHERE contains({_NAME.format(c='src')}, 'cropdg') AND contains(src, '/real/')), x AS (SELECT image_path AS dst FROM train WHERE label = 'healthy'), h AS ({_TRAIN}) {_STATUS.format(action='move')}")
 def n07(spark, sf):
     """Pictures whose name holds a word move to the other environment; what is there already is skipped."""
@@ -115,7 +123,9 @@ def n04(spark, sf):
     return n.select("src", F.concat(F.lit("clean/gray_leaf_spot/gray_leaf_spot_"), F.col("n").cast("string"), F.col("ext")).alias("dst"))
 
 
-@Q("n01_move_with_suffix")
+@Q("n01_move_with_suffix", f"""WITH s AS (SELECT src FROM ({_TRAIN}) WHERE contains(src, 'maize_africa') AND {_EXT.format(n=_NAME.format(c='src'))} <> ''),
+   {suffix_sql("SELECT src FROM s", "src", used_sql("val"))}
+   SELECT src, 'clean/lethal_necrosis/real/lethal_necrosis_maize_africa_real_' || suffix || {_EXT.format(n=_NAME.format(c='src'))} AS dst, 'move' AS action, 'planned' AS status FROM suffixes""")
 def n01(spark, sf):
     """Recursive move under a prefix and an unused eight-digit number (N-01, N-02, N-03); the suffix follows a hash."""
     t = _train(spark, sf).where(F.contains("src", F.lit("maize_africa")) & (moves.extension(F.col("src")) != ""))

@@ -105,9 +105,9 @@ def f25(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", F.concat(F.rpad("n_name", 20, " "), F.lit("|"), F.lpad(F.col("n_regionkey").cast("string"), 6, " ")).alias("line"))
 
 
-@Q("f27_zscore", "SELECT vec_id, list_transform(embedding[1:3], lambda x: round_even((x::DOUBLE / 255 - 0.485) / 0.229, 6)) AS z FROM embeddings")
+@Q("f27_zscore", "SELECT vec_id, list_transform(embedding, lambda x: round_even((x::DOUBLE / 255 - 0.485) / 0.229, 6)) AS z FROM embeddings")
 def f27(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: F.bround((x.cast("double") / 255 - 0.485) / 0.229, 6)).alias("z"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.bround((x.cast("double") / 255 - 0.485) / 0.229, 6)).alias("z"))
 
 
 @Q("f29_tensor_range", "SELECT vec_id, list_min(embedding)::DOUBLE AS low, list_max(embedding)::DOUBLE AS high FROM embeddings")

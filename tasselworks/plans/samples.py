@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import BASELINE_CAP, BASELINE_CLASSES
+from ..functions.paths import category
 from ..operators import dedup, sampling
 from ..operators.prefix import global_row_number
 from ..registry import Registry, table
 from ..session import Workspace
-from .common import BASE_SQL, manifest
+from .common import BASE_SQL, cat_sql, manifest
 
 REGISTRY = Registry()
 Q = REGISTRY.add
@@ -74,14 +78,14 @@ def a35(spark, sf):
     return listed(spark, sf).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@Q("j01_outer_align", """WITH f AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), o AS (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000 GROUP BY 1)
-   SELECT p AS priority, coalesce(f.n, 0) AS n_f, coalesce(o.n, 0) AS n_o FROM f FULL JOIN o USING (p)""")
+@Q("j01_outer_align", "WITH " + ", ".join(f"n_{s} AS (SELECT coalesce({cat_sql('label')}, '') AS label, coalesce({cat_sql('environment')}, '') AS environment, count(*) AS n FROM {s} GROUP BY ALL)" for s in ("train", "val", "test"))
+   + " SELECT label, environment, coalesce(n_train.n, 0) AS n_train, coalesce(n_val.n, 0) AS n_val, coalesce(n_test.n, 0) AS n_test FROM n_train FULL JOIN n_val USING (label, environment) FULL JOIN n_test USING (label, environment)")
 def j01(spark, sf):
-    """Two count series aligned by a full outer join; what is missing is 0."""
-    o = table(spark, sf, "orders")
-    count = lambda d, n: d.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias(n))
-    both = count(o.where("o_orderstatus = 'F'"), "n_f").join(count(o.where("o_orderstatus = 'O' AND o_totalprice > 400000"), "n_o"), "priority", "full")
-    return both.select("priority", F.coalesce("n_f", F.lit(0)).alias("n_f"), F.coalesce("n_o", F.lit(0)).alias("n_o"))
+    """Three count series aligned on class and environment; what is missing in one is 0. One aggregation in place of
+    two full joins."""
+    parts = [table(spark, sf, s).select(F.coalesce(category(F.col("label")), F.lit("")).alias("label"), F.coalesce(category(F.col("environment")), F.lit("")).alias("environment"), F.lit(s).alias("split")) for s in ("train", "val", "test")]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("label", "environment").agg(*[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")])
 
 
 @Q("r03_sample_per_class", f"WITH {BASE_SQL} SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || row_id), row_id) AS k FROM m) WHERE k <= 400")
@@ -100,10 +104,10 @@ _NUM = "('0x' || substr(md5('42:{t}:' || draw), 1, 15))::BIGINT"
 
 @Q("r05_weighted_draws", f"""WITH n AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS c, count(*) OVER () AS classes FROM embeddings GROUP BY label),
    e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || vec_id), vec_id) AS k FROM embeddings),
-   d AS (SELECT range AS draw FROM range(2000)), p AS (SELECT draw, label, {_NUM.format(t='row')} % n + 1 AS k FROM d JOIN n ON c = {_NUM.format(t='class')} % classes)
+   d AS (SELECT range AS draw FROM range((SELECT count(*) FROM embeddings))), p AS (SELECT draw, label, {_NUM.format(t='row')} % n + 1 AS k FROM d JOIN n ON c = {_NUM.format(t='class')} % classes)
    SELECT draw, label, vec_id FROM p JOIN e USING (label, k)""")
 def r05(spark, sf):
-    return sampling.weighted_draws(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id", 2000)
+    return sampling.weighted_draws(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id")
 
 
 @Q("r06_shuffled_order", "SELECT p_partkey, row_number() OVER (ORDER BY sha256('42:' || p_partkey), p_partkey) AS place FROM part")
@@ -135,7 +139,25 @@ def w05(spark, sf):
     return sampling.next_valid(e, "event_id", F.col("event_type") != "error", ["source_id", "event_type"], Workspace(spark, "w05"))
 
 
-@Q("w07_unique_suffixes")
+def suffix_sql(rows: str, key: str, used: str, rounds: int = 4) -> str:
+    """CTEs that end in ``suffixes`` (key, suffix): in each round a hash of the key names a number of eight digits; the
+    smallest of several keys takes it if it is free. Four rounds are more than any test table needs."""
+    parts = [f"todo0 AS ({rows})", f"used0 AS ({used})"]
+    for n in range(rounds):
+        parts += [
+            f"try{n} AS (SELECT {key}, ('0x' || substr(md5('{n}:' || {key}), 1, 15))::BIGINT % 90000000 + 10000000 AS suffix FROM todo{n})",
+            f"good{n} AS (SELECT {key}, suffix FROM (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY {key}) AS k FROM try{n}) WHERE k = 1 AND suffix NOT IN (SELECT suffix FROM used{n} WHERE suffix IS NOT NULL))",
+            f"todo{n + 1} AS (SELECT {key} FROM todo{n} WHERE {key} NOT IN (SELECT {key} FROM good{n}))",
+            f"used{n + 1} AS (SELECT suffix FROM used{n} UNION SELECT suffix FROM good{n})",
+        ]
+    return ", ".join(parts) + ", suffixes AS (" + " UNION ALL ".join(f"SELECT * FROM good{n}" for n in range(rounds)) + ")"
+
+
+def used_sql(name: str) -> str:
+    return rf"SELECT nullif(regexp_extract(image_path, '_(\d{{8}})\.', 1), '')::BIGINT AS suffix FROM {name}"
+
+
+@Q("w07_unique_suffixes", f"WITH {suffix_sql('SELECT p_partkey FROM part', 'p_partkey', used_sql('train'))} SELECT * FROM suffixes")
 def w07(spark, sf):
     """An eight-digit number for every part, none of them used by a picture name of train."""
     used = table(spark, sf, "train").select(F.try_to_number(F.nullif(F.regexp_extract("image_path", r"_(\d{8})\.", 1), F.lit("")), F.lit("99999999")).cast("bigint").alias("n")).where("n IS NOT NULL")
@@ -144,4 +166,17 @@ def w07(spark, sf):
 
 @Q("s26_view_limit", "SELECT doc_id FROM documents WHERE doc_kind = 'note' ORDER BY doc_id LIMIT 500")
 def s26(spark, sf):
-    return table(spark, sf, "documents").where("doc_kind = 'note'").orderBy("doc_id").limit(500).select("doc_id")
+    return sampling.view_limit(table(spark, sf, "documents").where("doc_kind = 'note'"), "doc_id").select("doc_id")
+
+
+@Q("l06_no_limit", "SELECT doc_id FROM documents WHERE doc_kind = 'note'")
+def l06(spark, sf):
+    """A limit of 0 or less is none."""
+    return sampling.view_limit(table(spark, sf, "documents").where("doc_kind = 'note'"), "doc_id", 0).select("doc_id")
+
+
+@Q("x02_sampled_union", " UNION ALL ".join(f"SELECT row_id, '{s}' AS split FROM (SELECT row_id, row_number() OVER (PARTITION BY label ORDER BY sha256('42:' || row_id), row_id) AS k FROM (SELECT row_id, {cat_sql('label')} AS label FROM {s})) WHERE k <= 50" for s in ("train", "val", "test")))
+def x02(spark, sf):
+    """The union of samples that are drawn from each split for itself, at most 50 of a class."""
+    parts = [table(spark, sf, s).select("row_id", category(F.col("label")).alias("label"), F.lit(s).alias("split")) for s in ("train", "val", "test")]
+    return reduce(DataFrame.unionByName, [sampling.cap_per_group(p, ["label"], "row_id", 50).select("row_id", "split") for p in parts])

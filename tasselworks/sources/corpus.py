@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.constants import CLASSES, ENVIRONMENTS, MANIFEST_EXTENSIONS, SU
 
 MANIFEST_SCHEMA = "image_path string, label string, environment string"
 DUPLICATES_SCHEMA = "original_path string, duplicate_paths string"
+#: The flag columns of the reader with a known header.
 ONEHOT_FIXED = ("GLS", "NCLB", "PLS", "CR", "SR", "NoFoliarSymptoms", "Other", "UnidentifiedDisease")
 
 
@@ -78,6 +81,18 @@ def annotation_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def split_annotations(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test"), folder: str = "labels") -> DataFrame:
+    """(split_no, split, name, body) of the annotation texts below <root>/<split>/<folder>, the splits in the given
+    order; one that is not there is skipped (S-09). Sort by split_no and name where the order matters."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for n, split in enumerate(splits):
+        at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{split}/{folder}")
+        if at.getFileSystem(conf).exists(at):
+            parts.append(annotation_files(spark, at.toString()).select(F.lit(n).alias("split_no"), F.lit(split).alias("split"), F.substring_index("path", "/", -1).alias("name"), "body"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "split_no int, split string, name string, body string")
+
+
 def path_list(spark: SparkSession, path: str) -> DataFrame:
     """Listed paths, blank lines dropped (S-18)."""
     return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")

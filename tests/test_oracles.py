@@ -19,7 +19,7 @@ def test_query(spark, name):
     if name in REG.sql:
         oracle.compare(df, REG.sql[name], SF)
     else:
-        assert df.columns and df.count() >= 0
+        raise AssertionError("every core query has a statement")
 
 
 def test_registry_refuses_twice_and_unknown():
