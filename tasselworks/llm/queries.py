@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.paths import plot_folder
 from ..operators.packed import packed_values
 from ..plans.storage import DUPLICATES, PACKED_SQL
 from ..registry import Registry, table
@@ -149,6 +153,34 @@ def p4_grouped_split(spark, sf_dir):
     return grouped_split(table(spark, sf_dir, "train"), Workspace(spark, "p4"), SPLIT_SHARES, carry=("label", "environment"))
 
 
+P4_AUDIT_SQL = r"""
+WITH t AS (SELECT row_id, trim(contributor) AS c, image_path AS p, lower(regexp_extract(regexp_replace(replace(url_decode(replace(image_path, '+', '%2B')), chr(92), '/'), '[?#][^/]*$', ''), '(?i)/(plot_[^/]+)/', 1)) AS f FROM train)
+SELECT 'contributor' AS kind, count(DISTINCT nullif(c, '')) AS things, 0::BIGINT AS wrong FROM t
+UNION ALL SELECT 'plot', count(DISTINCT nullif(f, '')), 0 FROM t
+UNION ALL SELECT 'path', count(DISTINCT p), 0 FROM t WHERE trim(p) <> ''
+UNION ALL SELECT 'row', count(*), 0 FROM t
+UNION ALL SELECT 'share', 3, 0
+"""
+
+
+@REGISTRY.add("p4_audit", P4_AUDIT_SQL)
+def p4_audit(spark, sf_dir):
+    """What must not be torn: contributors, plots and paths in more than one split, rows without exactly one split,
+    and splits whose share of the rows is off by more than a twentieth."""
+    ws = Workspace(spark, "p4a")
+    rows = table(spark, sf_dir, "train").select("row_id", "image_path", "contributor")
+    split = ws.keep(grouped_split(rows, ws, SPLIT_SHARES, carry=("image_path", "contributor")))
+    parts = []
+    for kind, entity in (("contributor", F.trim("contributor")), ("plot", plot_folder(F.col("image_path"))), ("path", F.when(F.trim("image_path") != "", F.col("image_path"))), ("row", F.col("row_id").cast("string"))):
+        per = split.select(entity.alias("e"), "split").where("e <> ''").groupBy("e").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.count("*").alias("n"))
+        wrong = (F.col("lo") != F.col("hi")) | ((F.col("n") != 1) if kind == "row" else F.lit(False))
+        parts.append(per.agg(F.lit(kind).alias("kind"), F.count("*").alias("things"), F.count_if(wrong).alias("wrong")))
+    wanted = spark.createDataFrame(list(SPLIT_SHARES.items()), "split string, share double")
+    shares = split.groupBy("split").agg(F.count("*").alias("n")).join(wanted, "split").withColumn("off", F.abs(F.col("n") / F.sum("n").over(W.partitionBy()) - F.col("share")))
+    parts.append(shares.agg(F.lit("share").alias("kind"), F.count("*").alias("things"), F.count_if(F.col("off") > 0.05).alias("wrong")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 P6_SQL = r"""
 WITH t AS (
   SELECT regexp_replace(lower(regexp_replace(label, '^\s+|\s+$', '', 'g')), '[\s_-]+', '_', 'g') AS l,

@@ -16,4 +16,5 @@ def test_query(spark, name):
     if name in REGISTRY.sql:
         oracle.compare(df, REGISTRY.sql[name], SF)
     else:
-        assert df.columns and df.count() >= 0
+        # what SQL cannot say is held against brute force or unseen sentences in the operator's own tests
+        assert name in {"p4_grouped_split", "p8_ids", "p10_found", "p10_scores", "p10_rates"} and df.count() > 0
