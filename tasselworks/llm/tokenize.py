@@ -3,11 +3,11 @@
 Bytes are mapped to Latin-1 characters, so that one pyahocorasick automaton over all tokens finds, in a single pass,
 the longest token at each position of a pre-token. From there the encoder takes longest matches and backtracks: a
 token may follow its predecessor only if the pair is one that merging would have left side by side, which is decided
-by undoing merges in reverse rank order and memoised by pair. Each position is given up at most once, so a pre-token
-of n bytes costs O(n), also for runs of one character that are megabytes long. Ids are those of exact merging.
+by undoing merges in reverse rank order and memoised by pair. Each position is given up at most once. A pre-token of n bytes costs O(n) times the number of tokens that
+end at a position, which the vocabulary bounds (its runs of one character). Ids are those of exact merging.
 
 Defined results: a null or empty text has an empty list; special tokens are ordinary text; repeated rows are encoded
-again; the vocabulary file is a parameter and is read on the executors.
+again; the vocabulary file is a parameter, is read by the driver and sent to the executors.
 """
 
 from __future__ import annotations
@@ -43,9 +43,12 @@ def _printable_bytes() -> dict[str, str]:
 class BacktrackingBPE:
     """Exact BPE of single pre-tokens in linear time."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, path: str, text: str | None = None):
+        """``text`` is the vocabulary file's content; without it the file is read."""
+        if text is None:
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+        model = json.loads(text)["model"]
         alphabet = _printable_bytes()
         latin = {"".join(map(alphabet.get, text)): i for text, i in model["vocab"].items() if all(c in alphabet for c in text)}
         to_latin = lambda text: "".join(map(alphabet.get, text))
@@ -127,15 +130,16 @@ class BacktrackingBPE:
 _ENCODERS: dict[str, tuple[BacktrackingBPE, dict[str, list[int]], "regex.Pattern"]] = {}
 
 
-def _encoder(path: str):
+def _encoder(path: str, content: str | None = None):
     if path not in _ENCODERS:
-        _ENCODERS[path] = (BacktrackingBPE(path), {}, regex.compile(PRETOKEN))
+        _ENCODERS[path] = (BacktrackingBPE(path, content), {}, regex.compile(PRETOKEN))
     return _ENCODERS[path]
 
 
-def encode_text(path: str, text: str | None) -> list[int]:
-    """Ids of a text; null and empty texts give an empty list."""
-    bpe, words, pattern = _encoder(path)
+def encode_text(path: str, text: str | None, content: str | None = None) -> list[int]:
+    """Ids of a text; null and empty texts give an empty list. ``content`` is that of the vocabulary file, where the
+    file itself is out of reach."""
+    bpe, words, pattern = _encoder(path, content)
     ids: list[int] = []
     for piece in pattern.findall(text or ""):
         known = words.get(piece)
@@ -152,13 +156,16 @@ def encode_text(path: str, text: str | None) -> list[int]:
 def encode_corpus(df: DataFrame, key: str, text: str, tokenizer_json: str) -> DataFrame:
     """(key, ids array<int>) for every row of ``df``; no shuffle, whole texts, streamed in Arrow batches."""
     kind = df.schema[key].dataType.simpleString()
+    # a few MB of fixed size: executors need not see the file
+    with open(tokenizer_json, encoding="utf-8") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat: list[np.ndarray] = []
             ends = [0]
             for value in batch.column(1).to_pylist():
-                ids = encode_text(tokenizer_json, value)
+                ids = encode_text(tokenizer_json, value, sent.value)
                 flat.append(np.array(ids, dtype=np.int32))
                 ends.append(ends[-1] + len(ids))
             values = np.concatenate(flat) if flat else np.empty(0, np.int32)
