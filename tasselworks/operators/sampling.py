@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEED
-from .prefix import rank_in_group
+from .prefix import global_row_number, rank_in_group
 
 
 def hash_order(key: Column, seed: int = SEED) -> Column:
@@ -95,6 +95,10 @@ def view_limit(df: DataFrame, order: str, limit: int = 500) -> DataFrame:
     return df.orderBy(order).limit(limit) if limit > 0 else df
 
 
+#: Rounds of hashed candidates before free numbers are enumerated.
+HASH_ROUNDS = 20
+
+
 def unique_suffixes(df: DataFrame, key: str, used: DataFrame, number: str, ws, digits: int = 8) -> DataFrame:
     """Adds ``suffix``: an unused number of ``digits`` digits for every row, the same in every run (W-07).
 
@@ -103,7 +107,7 @@ def unique_suffixes(df: DataFrame, key: str, used: DataFrame, number: str, ws, d
     span = 9 * 10 ** (digits - 1)
     todo, taken = ws.keep(df), used.select(F.col(number).cast("bigint").alias("suffix")).distinct()
     done = None
-    for attempt in range(60):
+    for attempt in range(HASH_ROUNDS):
         candidate = F.pmod(digest_number(F.concat(F.lit(f"{attempt}:"), F.col(key).cast("string"))), F.lit(span)) + 10 ** (digits - 1)
         first = W.partitionBy("suffix").orderBy(key)
         tried = todo.withColumn("suffix", candidate).join(taken.withColumn("__used", F.lit(True)), "suffix", "left").withColumn("__n", F.row_number().over(first))
@@ -115,6 +119,12 @@ def unique_suffixes(df: DataFrame, key: str, used: DataFrame, number: str, ws, d
         taken = taken.unionByName(placed.select("suffix"))
         if todo.isEmpty():
             return done.select(*df.columns, "suffix")
+    # hardly a number is free: the rest take the free numbers in order
+    rest = global_row_number(todo, [F.col(key)], "__r", ws)
+    free = df.sparkSession.range(10 ** (digits - 1), 10**digits).withColumnRenamed("id", "suffix").join(taken, "suffix", "left_anti")
+    placed = ws.keep(rest.join(global_row_number(free, [F.col("suffix")], "__r", ws), "__r").drop("__r"), n=F.count(F.lit(1)))
+    if placed.observed["n"] == todo.count():
+        return done.unionByName(placed).select(*df.columns, "suffix")
     raise RuntimeError("no free numbers are left")
 
 

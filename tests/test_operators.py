@@ -102,6 +102,8 @@ def test_unique_suffixes(spark):
     used = spark.createDataFrame([(k,) for k in range(10, 35)], "n long")
     out = sampling.unique_suffixes(df, "k", used, "n", ws(spark), digits=2).collect()
     assert len(out) == 60 and len({r.suffix for r in out}) == 60 and all(35 <= r.suffix <= 99 for r in out)
+    with pytest.raises(RuntimeError):
+        sampling.unique_suffixes(df, "k", used.union(df.where("k >= 35 AND k < 50")), "n", ws(spark), digits=2)
 
 
 def test_prefix_helpers(spark):
