@@ -146,3 +146,15 @@ def test_config_and_source_rule(tmp_path):
     assert config.resolve_source(str(tmp_path / "no"), ("hub", "drive")) == "hub"
     with pytest.raises(ValueError):
         config.resolve_source(str(tmp_path / "no"), ())
+
+
+def test_split_walker_keeps_the_order_and_skips_a_missing_split(spark, tmp_path):
+    from tasselworks.sources.corpus import split_annotations
+
+    for split, names in (("test", "b a"), ("train", "d c")):
+        (tmp_path / split / "labels").mkdir(parents=True)
+        for name in names.split():
+            (tmp_path / split / "labels" / f"{name}.txt").write_text(f"1 {name}\n2 {name}")
+    got = [(r.split, r["name"], r.body) for r in split_annotations(spark, str(tmp_path)).orderBy("split_no", "name").collect()]
+    assert got == [(s, f"{n}.txt", f"1 {n}\n2 {n}") for s, n in (("train", "c"), ("train", "d"), ("test", "a"), ("test", "b"))]
+    assert split_annotations(spark, f"{tmp_path}/nothing").count() == 0
