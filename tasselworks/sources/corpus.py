@@ -78,7 +78,7 @@ def labelled_samples(files: DataFrame, relative: str = "relative") -> DataFrame:
 
 def annotation_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, body) of annotation texts, a row a file (S-08, S-09)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
 def split_annotations(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "valid", "test"), folder: str = "labels") -> DataFrame:
